@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import canonical, encoding, mixing, runs
+from trackloom.llm import canonical, encoding, mixing, personal, runs
 from trackloom.sources.tables import table
 
 
@@ -44,7 +44,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(sized, mixing.mix(sized, targets), targets)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_bouts, p3_found, p8_ids, p8_round_trip, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find(table(spark, d, "documents"))
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    return personal.sanitise(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_bouts, p3_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_clean)}
 
 _BOUTS = """
 WITH frames AS (
