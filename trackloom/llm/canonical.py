@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.operators.frames import need
+from trackloom.plans.staging import stage
 
 #: fixed values: synonyms in use and the label each stands for
 SYNONYMS = {"run": "crawling", "dwell": "dwelling", "crawl": "crawling", "turn": "turning"}
@@ -139,12 +140,13 @@ def repair(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
 def canonical(values: DataFrame, reference: DataFrame, synonyms: dict[str, str] = SYNONYMS, least: float = 0.6) -> DataFrame:
     """``typed, label`` of distinct values in the column ``typed``; ``unmatched`` where no entry reaches ``least``."""
-    words = vocabulary(reference, synonyms).cache()
+    # written tables keep the plans of the steps that use them again and again small
+    words, _ = stage(vocabulary(reference, synonyms), "words")
     cut = values.select("typed", normal(F.col("typed")).alias("text")).distinct()
     as_words = cut.select("typed", F.explode(F.split("text", " ")).alias("piece"), F.lit("word").alias("kind"))
     as_whole = cut.select("typed", F.replace("text", F.lit(" "), F.lit("")).alias("piece"), F.lit("whole").alias("kind"))
-    pieces = as_words.unionByName(as_whole).where("piece <> ''")
-    near = repair(pieces.select("piece", "kind").distinct(), words)
+    pieces, _ = stage(as_words.unionByName(as_whole).where("piece <> ''").distinct(), "pieces")
+    near, _ = stage(repair(pieces.select("piece", "kind").distinct(), words), "repaired")
     # how telling a token is: the fewer entries have it, the more
     weights = words.groupBy("kind", "token").agg(F.countDistinct("label").alias("df"))
     entries = words.agg(F.countDistinct("label")).first()[0] or 1
@@ -154,9 +156,9 @@ def canonical(values: DataFrame, reference: DataFrame, synonyms: dict[str, str]
     # an entry in one piece may have several spellings, of which one is met
     norms = of_label.groupBy("label", "kind").agg(F.when(F.first("kind") == "whole", F.max(F.col("idf") * F.col("idf"))).otherwise(F.sum(F.col("idf") * F.col("idf"))).alias("label_norm"))
     unknown = F.lit(math.log(1.0 + entries))
-    met = pieces.distinct().join(near, ["piece", "kind"]).join(weighted, ["kind", "token"])
+    met = pieces.join(near, ["piece", "kind"]).join(weighted, ["kind", "token"])
     best_idf = met.groupBy("typed", "kind", "piece").agg(F.max("idf").alias("piece_idf"))
-    of_piece = pieces.distinct().join(best_idf, ["typed", "kind", "piece"], "left").select("typed", "kind", F.coalesce("piece_idf", unknown).alias("piece_idf"))
+    of_piece = pieces.join(best_idf, ["typed", "kind", "piece"], "left").select("typed", "kind", F.coalesce("piece_idf", unknown).alias("piece_idf"))
     typed_norms = of_piece.groupBy("typed", "kind").agg(F.sum(F.col("piece_idf") * F.col("piece_idf")).alias("typed_norm"))
     per_token = met.groupBy("typed", "kind", "label", "token").agg(F.max(F.col("likeness") * F.col("idf") * F.col("idf")).alias("part"))
     dots = per_token.groupBy("typed", "kind", "label").agg(F.sum("part").alias("dot"))
