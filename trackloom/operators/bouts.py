@@ -143,4 +143,4 @@ def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence
     if not share:
         return wide
     total = sum((F.col(v) for v in values), F.lit(0))
-    return wide.select(*by, *[F.when(total > 0, F.col(v) * 100.0 / total).alias(v) for v in values])
+    return wide.select(*by, *[F.try_divide(F.col(v) * 100.0, total).alias(v) for v in values])

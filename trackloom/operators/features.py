@@ -25,20 +25,33 @@ PLACE = [*TRACK, "shard"]
 
 
 class Rolling:
-    """Centred windows over the rows of a track: ``n`` rows are the ``n // 2`` before a row up to ``(n - 1) // 2`` after it."""
+    """Centred windows over the rows of a track: ``n`` rows are the ``n // 2`` before a row up to ``(n - 1) // 2`` after it.
+
+    Builders ask for sums, means and shifts and get columns back; what they asked for is collected, each once, and
+    computed in stages: terms, running sums and totals, differences and shifts. Features are then plain projections.
+    """
 
     def __init__(self, fps: float = FPS):
         self.fps, self.w, self.whole = fps, shard_window(), Window.partitionBy(*PLACE)
-        self.sums: dict[str, Column] = {}
-        self.sources: set[str] = set()
+        self.centres: dict[str, Column] = {}
+        self.terms: dict[str, Column] = {}
+        self.windows: dict[str, Column] = {}
 
     def _running(self, name: str, term: Column) -> str:
-        self.sums.setdefault(name, term)
+        self.terms.setdefault(name, term)
         return name
 
+    def _window(self, name: str, value: Column) -> Column:
+        self.windows.setdefault(name, value)
+        return F.col(name)
+
     def _between(self, name: str, before: int, after: int) -> Column:
-        upper = F.coalesce(F.lead(name, after).over(self.w), F.last(name).over(self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) if after else F.col(name)
-        return upper - F.coalesce(F.lag(name, before + 1).over(self.w), F.lit(0))
+        upper = F.coalesce(F.lead(name, after).over(self.w), F.col(f"{name}_all")) if after else F.col(name)
+        return self._window(f"{name}_{before}_{after}", upper - F.coalesce(F.lag(name, before + 1).over(self.w), F.lit(0)))
+
+    def _centred(self, c: str) -> Column:
+        self.centres.setdefault(f"_m_{c}", F.avg(c).over(self.whole))
+        return F.col(c) - F.col(f"_m_{c}")
 
     def count(self, c: str, n: int) -> Column:
         return self._between(self._running(f"_n_{c}", F.col(c).isNotNull().cast("int")), n // 2, (n - 1) // 2)
@@ -48,31 +61,36 @@ class Rolling:
         return F.when(self.count(c, n) > 0, total)
 
     def mean(self, c: str, n: int) -> Column:
-        return self.sum(c, n) / self.count(c, n)
+        return F.try_divide(self.sum(c, n), self.count(c, n))
 
     def trailing_mean(self, c: str, n: int) -> Column:
         rows, total = self._running(f"_n_{c}", F.col(c).isNotNull().cast("int")), self._running(f"_s_{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
         held = self._between(rows, n - 1, 0)
-        return F.when(held > 0, self._between(total, n - 1, 0) / held)
+        return F.try_divide(self._between(total, n - 1, 0), held)
 
     def var(self, c: str, n: int) -> Column:
         """Sample variance; null for fewer than two values. Values are centred first, so that squares stay small."""
-        centred = F.coalesce(F.col(c) - F.avg(c).over(self.whole), F.lit(0.0))
-        one, two, rows = self._running(f"_c_{c}", centred), self._running(f"_q_{c}", centred * centred), self.count(c, n)
+        off = F.coalesce(self._centred(c), F.lit(0.0))
+        one, two, rows = self._running(f"_c_{c}", off), self._running(f"_q_{c}", off * off), self.count(c, n)
         s, q = self._between(one, n // 2, (n - 1) // 2), self._between(two, n // 2, (n - 1) // 2)
-        return F.when(rows > 1, F.greatest((q - s * s / rows) / (rows - 1), F.lit(0.0)))
+        return F.when(rows > 1, F.greatest(F.try_divide(q - F.try_divide(s * s, rows), rows - 1), F.lit(0.0)))
 
     def std(self, c: str, n: int) -> Column:
         return F.sqrt(self.var(c, n))
 
     def max(self, c: str, n: int) -> Column:
-        return F.max(c).over(self.w.rowsBetween(-(n // 2), (n - 1) // 2))
+        return self._window(f"_max_{c}_{n}", F.max(c).over(self.w.rowsBetween(-(n // 2), (n - 1) // 2)))
 
     def lag(self, c: str, k: int) -> Column:
-        return F.lag(c, k).over(self.w)
+        return self._window(f"_lag_{c}_{k}", F.lag(c, k).over(self.w))
 
     def lead(self, c: str, k: int) -> Column:
-        return F.lead(c, k).over(self.w)
+        return self._window(f"_lead_{c}_{k}", F.lead(c, k).over(self.w))
+
+    def end(self, c: str, last: bool) -> Column:
+        """The value of the shard's first or last row."""
+        every = self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return self._window(f"_end_{c}_{last}", (F.last if last else F.first)(c).over(every))
 
     def displacement(self, n: int) -> Column:
         """Distance between the ends of the window; an end beyond the track is the row itself."""
@@ -82,20 +100,24 @@ class Rolling:
 
     def scatter(self, n: int) -> tuple[Column, Column, Column, Column]:
         """Sums of squares and products about the window's mean over rows i - n//2 to i + n//2, and the rows there."""
-        terms = {"x": F.col("x") - F.avg("x").over(self.whole), "y": F.col("y") - F.avg("y").over(self.whole)}
+        x, y = self._centred("x"), self._centred("y")
         both = F.col("x").isNotNull() & F.col("y").isNotNull()
-        cell = lambda term: F.when(both, term).otherwise(0.0)
-        names = {k: self._running(f"_p_{k}", cell(v)) for k, v in {"x": terms["x"], "y": terms["y"], "xx": terms["x"] * terms["x"], "yy": terms["y"] * terms["y"], "xy": terms["x"] * terms["y"]}.items()}
+        names = {k: self._running(f"_p_{k}", F.when(both, v).otherwise(0.0)) for k, v in {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}.items()}
         rows = self._between(self._running("_p_n", both.cast("int")), n // 2, n // 2)
         at = {k: self._between(v, n // 2, n // 2) for k, v in names.items()}
-        return at["xx"] - at["x"] * at["x"] / rows, at["yy"] - at["y"] * at["y"] / rows, at["xy"] - at["x"] * at["y"] / rows, rows
+        about = lambda a, b: at[a + b] - F.try_divide(at[a] * at[b], rows)
+        return about("x", "x"), about("y", "y"), about("x", "y"), rows
 
-    def with_sums(self, df: DataFrame) -> DataFrame:
-        """The running sums that the expressions built so far need."""
+    def apply(self, df: DataFrame, built: dict[str, Column]) -> DataFrame:
+        """``df`` with the built columns, by way of what they asked for."""
+        terms = {f"{name}_t": term for name, term in self.terms.items()}
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        terms = {f"{name}_": term for name, term in self.sums.items()}
-        # terms first, since they may hold windows themselves
-        return df.withColumns(terms).withColumns({name: F.sum(f"{name}_").over(upto) for name in self.sums}).drop(*terms)
+        sums = {name: F.sum(f"{name}_t").over(upto) for name in self.terms} | {f"{name}_all": F.sum(f"{name}_t").over(self.whole) for name in self.terms}
+        out = df
+        for stage in (self.centres, terms, sums, self.windows, built):
+            if stage:
+                out = out.withColumns(stage)
+        return out.drop(*self.centres, *terms, *sums, *self.windows)
 
 
 @dataclass(frozen=True)
@@ -201,7 +223,7 @@ def _rog(r: Rolling, w: int, n: int) -> Column:
 
 @register("tortuosity", version=2)
 def _tortuosity(r: Rolling, w: int, n: int) -> Column:
-    return r.sum("v_com", n) / r.fps / (r.displacement(n) + 0.1 * F.col(GM))
+    return F.try_divide(r.sum("v_com", n) / r.fps, r.displacement(n) + 0.1 * F.col(GM))
 
 
 @register("msd", version=2)
@@ -222,8 +244,10 @@ def _net_displacement_norm(r: Rolling, w: int, n: int) -> Column:
 @register("angular_tortuosity")
 def _angular_tortuosity(r: Rolling, w: int, n: int) -> Column:
     """The half width is half the seconds, counted in rows; an end beyond the track is the row itself."""
+    # net is a window of its own, since the running sum isn't kept beside the features
     turned, k = r._running("_s_u_body", F.coalesce("u_body", F.lit(0.0))), w // 2
-    net = F.coalesce(r.lead(turned, k), F.col(turned)) - F.coalesce(r.lag(turned, k), F.col(turned))
+    ahead, behind = F.coalesce(F.lead(turned, k).over(r.w), F.col(turned)), F.coalesce(F.lag(turned, k).over(r.w), F.col(turned))
+    net = r._window(f"_net_u_body_{k}", ahead - behind) if k else F.lit(0.0)
     return r.sum("omega_body", n) / r.fps / (F.abs(net) + 0.01)
 
 
@@ -257,7 +281,7 @@ def _pca(r: Rolling, n: int) -> tuple[Column, Column, Column]:
 @register("pca_ratio", version=2)
 def _pca_ratio(r: Rolling, w: int, n: int) -> Column:
     first, second, rows = _pca(r, n)
-    return F.when((rows >= 3) & (first > 1e-6), second / first).otherwise(0.0)
+    return F.coalesce(F.when((rows >= 3) & (first > 1e-6), F.try_divide(second, first)), F.lit(0.0))
 
 
 @register("pca_area_norm", version=2)
@@ -284,9 +308,9 @@ def _vel_lead(r: Rolling, w: int, n: int) -> Column:
 def _slope(name: str, of: str) -> None:
     @register(name, prereqs=[of])
     def build(r: Rolling, w: int, n: int) -> Column:
-        """Value ``k`` rows ahead less ``k`` rows behind; beyond the track its last and first value; short tracks 0."""
-        c, k, every = column_name(of, w), _step(r, w), r.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return F.coalesce(F.coalesce(r.lead(c, k), F.last(c).over(every)) - F.coalesce(r.lag(c, k), F.first(c).over(every)), F.lit(0.0))
+        """Value ``k`` rows ahead less ``k`` rows behind; beyond the track its last and first value; without values 0."""
+        c, k = column_name(of, w), _step(r, w)
+        return F.coalesce(F.coalesce(r.lead(c, k), r.end(c, True)) - F.coalesce(r.lag(c, k), r.end(c, False)), F.lit(0.0))
 
 
 _slope("omega_body_mean_slope_smooth", "omega_body_mean")
@@ -330,7 +354,7 @@ def compute_columns(df: DataFrame, columns: Iterable[str], fps: float = FPS, reg
         rolling = Rolling(fps)
         built = {column_name(f, w): registry.features[f].build(rolling, w, int(w * fps) if w else 0) for w, names in plans for f in names if depth[f] == level}
         if built:
-            out = rolling.with_sums(out).withColumns(built).drop(*rolling.sums)
+            out = rolling.apply(out, built)
     return core(out.select(*TRACK, "frame", "et", *keep, *parsed, "core", "shard", "idx"))
 
 

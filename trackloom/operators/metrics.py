@@ -17,7 +17,7 @@ from trackloom.operators.tracks import TRACK, same
 
 def _over(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
-    return F.when(b != 0, a / b)
+    return F.try_divide(a, b)
 
 
 def confusion(df: DataFrame, truth: str = "truth", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +74,7 @@ def ranked_metrics(df: DataFrame, truth: str = "truth", prob: str = "prob") -> D
 def curves(df: DataFrame, truth: str = "truth", prob: str = "prob") -> DataFrame:
     """Points of the ROC, precision-recall, DET, gain and lift curves, one per distinct probability."""
     at = thresholds(df, truth, prob)
-    tpr, fpr = F.col("tp") / F.col("p"), F.col("fp") / F.col("n")
+    tpr, fpr = _over(F.col("tp"), F.col("p")), _over(F.col("fp"), F.col("n"))
     shown = (F.col("tp") + F.col("fp")) / (F.col("p") + F.col("n"))
     return at.select("prob", tpr.alias("tpr"), fpr.alias("fpr"), (1 - tpr).alias("fnr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), shown.alias("shown"), _over(tpr, shown).alias("lift"))
 
