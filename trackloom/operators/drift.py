@@ -30,6 +30,8 @@ ALIASES = {
     "annotator": ["annotator", "user", "scored_by"],
 }
 TARGET = {"source": "string", "AN": "long", "ID": "long", "t0": "seconds", "t1": "seconds", "Behavior": "string", "tags": "packed", "notes": "string", "annotator": "string"}
+#: what values of the target types of our own are stored as
+PLAIN_TYPES = {"seconds": "double", "packed": "string"}
 LINE = ["file_id", "series", "file_no", "line_no"]
 
 
@@ -113,7 +115,7 @@ def ingest(records: DataFrame, aliases: dict[str, list[str]] = ALIASES, target:
 def promote(table: DataFrame, fields: dict[str, str], aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """Give ``table`` typed columns for approved ``fields`` and replay their rescued values into them.
 
-    An existing column keeps its values and is only filled where it is null. What could be replayed leaves ``rescued``.
+    An existing column keeps its values, in the approved type, and is only filled where it is null. What could be replayed leaves ``rescued``.
     """
     held = "map<string,struct<field:string,kind:string,text:string>>"
     out = table.withColumn("_r", F.map_entries(F.from_json("rescued", held)))
@@ -123,7 +125,8 @@ def promote(table: DataFrame, fields: dict[str, str], aliases: dict[str, list[st
         replayed = F.col("_v").isNotNull()
         if name in table.columns:
             replayed = replayed & F.col(name).isNull()
-            out = out.withColumn("_done", F.when(replayed, F.col("_e.key"))).withColumn(name, F.coalesce(name, "_v"))
+            kept = F.col(name).cast("string").try_cast(PLAIN_TYPES.get(wanted, wanted))
+            out = out.withColumn("_done", F.when(replayed, F.col("_e.key"))).withColumn(name, F.coalesce(kept, F.col("_v")))
         else:
             out = out.withColumn("_done", F.when(replayed, F.col("_e.key"))).withColumn(name, F.col("_v"))
         out = out.withColumn("_r", F.when(F.col("_done").isNull(), F.col("_r")).otherwise(F.filter("_r", lambda e: e["key"] != F.col("_done"))))
