@@ -79,13 +79,14 @@ def separator_scores(fields: DataFrame, candidates: tuple[str, ...] = CANDIDATES
     )
     piece = F.lower(_unquoted(F.col("t.token")))
     edge = lambda c: F.when(c.isNull(), F.lit("")).when(is_sign(c), c)
-    contexts = around.where(~is_sign(F.col("t.token"))).select(piece.alias("piece"), F.explode(F.array(edge(F.col("t.left")), edge(F.col("t.right")))).alias("next_to"))
-    known = contexts.where(F.col("next_to").isNotNull() & (F.col("piece") != "")).groupBy("piece").agg(F.collect_set("next_to").alias("beside"))
+    # what stands on both sides of a piece: a sign, or nothing at an end of the field
+    contexts = around.where(~is_sign(F.col("t.token"))).select(piece.alias("piece"), edge(F.col("t.left")).alias("l"), edge(F.col("t.right")).alias("r"))
+    known = contexts.where("l IS NOT NULL AND r IS NOT NULL AND piece <> ''").groupBy("piece").agg(F.collect_set(F.struct("l", "r")).alias("beside"))
     uses = around.where(is_sign(F.col("t.token"))).select(
         "src", F.col("t.token").alias("sign"), "pieces", F.explode(F.array("t.left", "t.right")).alias("piece")
     )
     uses = uses.where(F.col("piece").isNotNull() & ~is_sign(F.col("piece"))).withColumn("piece", F.lower(_unquoted(F.col("piece")))).where("piece <> ''")
-    seen = F.size(F.array_except(F.coalesce("beside", F.array().cast("array<string>")), F.array("sign"))) > 0
+    seen = F.coalesce(F.exists("beside", lambda b: (b["l"] != F.col("sign")) & (b["r"] != F.col("sign"))), F.lit(False))
     counted = uses.join(known, "piece", "left").groupBy("src", "sign").agg(
         F.count("*").alias("uses"), F.sum(seen.cast("int")).alias("regular"), F.avg("pieces").alias("mean"), F.coalesce(F.var_pop("pieces"), F.lit(0.0)).alias("spread")
     )
