@@ -129,8 +129,9 @@ def repair(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """Tokens met with vocabulary words within the allowed edits: ``piece, kind, label, token, likeness``."""
     meant = words.select("word", "kind", F.explode(deletions(F.col("word"))).alias("rest")).distinct()
     longest = F.lit(words.agg(F.max(F.length("word"))).first()[0] or 0)
-    # a longer token is further from every word than any edits allowed
-    typed = tokens.where(F.length("piece") <= longest + MOST_EDITS).select("piece", "kind", F.explode(deletions(F.col("piece"))).alias("rest"))
+    # a longer token is further from every word than any edits allowed; it has no deletions, wherever they are evaluated
+    short = F.when(F.length("piece") <= longest + MOST_EDITS, F.col("piece"))
+    typed = tokens.select("piece", "kind", F.explode(deletions(short)).alias("rest"))
     met = typed.join(meant, ["rest", "kind"]).select("piece", "word", "kind").distinct()
     measured = met.withColumn("edits_made", _distance("piece", "word"))
     near = measured.join(words, ["word", "kind"]).where(F.col("edits_made") <= F.col("edits"))
@@ -142,9 +143,10 @@ def canonical(values: DataFrame, reference: DataFrame, synonyms: dict[str, str]
     """``typed, label`` of distinct values in the column ``typed``; ``unmatched`` where no entry reaches ``least``."""
     # written tables keep the plans of the steps that use them again and again small
     words, _ = stage(vocabulary(reference, synonyms), "words")
-    cut = values.select("typed", normal(F.col("typed")).alias("text")).distinct()
-    as_words = cut.select("typed", F.explode(F.split("text", " ")).alias("piece"), F.lit("word").alias("kind"))
-    as_whole = cut.select("typed", F.replace("text", F.lit(" "), F.lit("")).alias("piece"), F.lit("whole").alias("kind"))
+    # a short key stands for the value, which may be long
+    cut = values.select("typed").distinct().select("typed", F.md5("typed").alias("id"), normal(F.col("typed")).alias("text"))
+    as_words = cut.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("piece"), F.lit("word").alias("kind"))
+    as_whole = cut.select("id", F.replace("text", F.lit(" "), F.lit("")).alias("piece"), F.lit("whole").alias("kind"))
     pieces, _ = stage(as_words.unionByName(as_whole).where("piece <> ''").distinct(), "pieces")
     near, _ = stage(repair(pieces.select("piece", "kind").distinct(), words), "repaired")
     # how telling a token is: the fewer entries have it, the more
@@ -157,14 +159,14 @@ def canonical(values: DataFrame, reference: DataFrame, synonyms: dict[str, str]
     norms = of_label.groupBy("label", "kind").agg(F.when(F.first("kind") == "whole", F.max(F.col("idf") * F.col("idf"))).otherwise(F.sum(F.col("idf") * F.col("idf"))).alias("label_norm"))
     unknown = F.lit(math.log(1.0 + entries))
     met = pieces.join(near, ["piece", "kind"]).join(weighted, ["kind", "token"])
-    best_idf = met.groupBy("typed", "kind", "piece").agg(F.max("idf").alias("piece_idf"))
-    of_piece = pieces.join(best_idf, ["typed", "kind", "piece"], "left").select("typed", "kind", F.coalesce("piece_idf", unknown).alias("piece_idf"))
-    typed_norms = of_piece.groupBy("typed", "kind").agg(F.sum(F.col("piece_idf") * F.col("piece_idf")).alias("typed_norm"))
-    per_token = met.groupBy("typed", "kind", "label", "token").agg(F.max(F.col("likeness") * F.col("idf") * F.col("idf")).alias("part"))
-    dots = per_token.groupBy("typed", "kind", "label").agg(F.sum("part").alias("dot"))
-    ranked = dots.join(norms, ["label", "kind"]).join(typed_norms, ["typed", "kind"]).withColumn("score", F.col("dot") / F.sqrt(F.col("label_norm") * F.col("typed_norm")))
-    best = ranked.where(F.col("score") >= least).groupBy("typed").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label")).alias("b"))
-    return cut.select("typed").join(best, "typed", "left").select("typed", F.coalesce("b.label", F.lit("unmatched")).alias("label"))
+    best_idf = met.groupBy("id", "kind", "piece").agg(F.max("idf").alias("piece_idf"))
+    of_piece = pieces.join(best_idf, ["id", "kind", "piece"], "left").select("id", "kind", F.coalesce("piece_idf", unknown).alias("piece_idf"))
+    typed_norms = of_piece.groupBy("id", "kind").agg(F.sum(F.col("piece_idf") * F.col("piece_idf")).alias("typed_norm"))
+    per_token = met.groupBy("id", "kind", "label", "token").agg(F.max(F.col("likeness") * F.col("idf") * F.col("idf")).alias("part"))
+    dots = per_token.groupBy("id", "kind", "label").agg(F.sum("part").alias("dot"))
+    ranked = dots.join(norms, ["label", "kind"]).join(typed_norms, ["id", "kind"]).withColumn("score", F.col("dot") / F.sqrt(F.col("label_norm") * F.col("typed_norm")))
+    best = ranked.where(F.col("score") >= least).groupBy("id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label")).alias("b"))
+    return cut.select("typed", "id").join(best, "id", "left").select("typed", F.coalesce("b.label", F.lit("unmatched")).alias("label"))
 
 
 def map_values(df: DataFrame, reference: DataFrame, key: str = "annotation_id", field: str = "Behavior", **options) -> DataFrame:
