@@ -51,7 +51,9 @@ UNIT_BEFORE = re.compile(rf"(?:{UNITS}) \d{{1,4}}[A-Za-z]?, $")
 AT = re.compile(r" ?(?:@|＠|\[at\]|\(at\)|\{at\}) ?| at ", re.IGNORECASE)
 LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\(dot\)|\[dot\]| dot )[A-Za-z0-9-]+)*(?:\.|\(dot\)|\[dot\]| dot )[A-Za-z]{2,}", re.IGNORECASE)
-SPOKEN = re.compile(r" dot ", re.IGNORECASE)
+#: fixed values: ends of domains that an address with a spoken sign may have; country codes that are words are left out
+SPOKEN_ENDS = "com org net edu gov info biz io dev app example test invalid localhost eu uk de fr es pl ru gr jp cn us ca au nl ch se dk fi cz pt br"
+SPOKEN = re.compile(rf" dot (?:{'|'.join(SPOKEN_ENDS.split())})$", re.IGNORECASE)
 
 #: stretches of digits with the signs that numbers are written with
 ZONE = re.compile(r"[+(\d][\d ./()\-]{5,}\d")
