@@ -144,3 +144,25 @@ def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence
         return wide
     total = sum((F.col(v) for v in values), F.lit(0))
     return wide.select(*by, *[F.try_divide(F.col(v) * 100.0, total).alias(v) for v in values])
+
+
+def event_windows(events: DataFrame, pad_s: float = 35.0, start: str = "t0", end: str = "t1") -> DataFrame:
+    """Adds ``w0`` and ``w1``: ``pad_s`` around each event, cut at the end of the one before and the start of the next."""
+    w = Window.partitionBy(*TRACK).orderBy(start, end)
+    before, after = F.lag(end).over(w), F.lead(start).over(w)
+    return events.withColumns({"w0": F.greatest(F.col(start) - pad_s, before), "w1": F.least(F.col(end) + pad_s, after)})
+
+
+def most_frequent(df: DataFrame, value: str, keys: Sequence[str] = TRACK) -> DataFrame:
+    """The most frequent value of each group, the smallest of equals, and how often it occurs."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    best = counted.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col(value))).alias("b"))
+    return best.select(*keys, F.col(f"b.{value}").alias(value), (-F.col("b.k")).alias("n"))
+
+
+def retention(raw: DataFrame, fed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of each group before and after a selection, and the share kept."""
+    there = raw.groupBy(*by).agg(F.count("*").alias("raw"))
+    kept = fed.groupBy(*by).agg(F.count("*").alias("fed"))
+    both = there.join(kept, list(by), "left").withColumn("fed", F.coalesce("fed", F.lit(0)))
+    return both.withColumn("share", F.col("fed") / F.col("raw"))

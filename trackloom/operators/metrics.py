@@ -126,6 +126,34 @@ def event_confusion(df: DataFrame, truth: str = "truth", prediction: str = "pred
     return hits.unionByName(false_events.where("share > 0").select(*TRACK, "t0", "t1", "share", F.lit("fp").alias("kind")))
 
 
+def contributing_events(df: DataFrame, truth: str = "truth", prediction: str = "prediction", least: float = 0.3, gap_s: float = 0.5, time: str = "et", order: str = "frame") -> DataFrame:
+    """The other rule of events, in the form of :func:`event_confusion`.
+
+    A true event is found if at least ``least`` of its rows are predicted; a predicted event is false unless it shares
+    a row with a found event. ``share`` of a false event is 1.
+    """
+    rows = df.select(*TRACK, order, time, F.col(truth).alias("truth"), F.coalesce(F.col(prediction).cast("int"), F.lit(0)).alias("pred"))
+    cut = event_ids(rows, [], gap_s, TRACK, time, order).withColumnRenamed("event_id", "segment")
+    marked = event_ids(cut, ["truth", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "t_run")
+    both = event_ids(marked, ["pred", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "p_run")
+    # rows per pair of runs, then per run: the runs that meet are few
+    pairs = both.groupBy(*TRACK, "truth", "t_run", "pred", "p_run").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.count("*").alias("n"))
+    events = pairs.where("truth = 1").groupBy(*TRACK, "t_run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), (F.sum(F.when(F.col("pred") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    judged = events.withColumn("kind", F.when(F.col("share") >= least, "tp").otherwise("fn"))
+    found = pairs.where("truth = 1 AND pred = 1").join(judged.where("kind = 'tp'").select(*TRACK, "t_run"), [*TRACK, "t_run"], "left_semi").select(*TRACK, "p_run").distinct()
+    predicted = pairs.where("pred = 1").groupBy(*TRACK, "p_run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    false_events = predicted.join(found, [*TRACK, "p_run"], "left_anti").select(*TRACK, "t0", "t1", F.lit(1.0).alias("share"), F.lit("fp").alias("kind"))
+    return judged.select(*TRACK, "t0", "t1", "share", "kind").unionByName(false_events)
+
+
+def event_scores(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``tp, fp, fn, precision, recall, f1`` of a list of events."""
+    cells = [F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")]
+    table = events.groupBy(*by).agg(*cells) if by else events.agg(*cells)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return table.withColumns({"precision": _over(tp, tp + fp), "recall": _over(tp, tp + fn), "f1": _over(2 * tp, 2 * tp + fp + fn)})
+
+
 def leaked_tracks(train: DataFrame, evaluated: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
     """Tracks in both tables."""
     return evaluated.select(*keys).distinct().alias("a").join(train.select(*keys).distinct().alias("b"), same("a", "b", keys), "left_semi")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import text
-from trackloom.operators import bouts, islands, labels, metrics, periods, ranges, sampling, tracks
+from trackloom.operators import bouts, islands, labels, metrics, periods, postprocess, ranges, sampling, tracks
 from trackloom.operators.frames import FPS, frame_number, is_number
+from trackloom.plans.staging import stage
 from trackloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,3 +562,48 @@ def weighted_pick(spark, d):
 def split_search(spark, d):
     matrix = sampling.tag_matrix(ann(spark, d))
     return sampling.search_split(matrix, table(spark, d, "split_registry").where("split = 'test'"), draws=500).withColumnRenamed("ID", "id")
+
+
+@query(f"WITH {PRED}, c AS (SELECT source, ID, tags, count(*) AS n FROM pf WHERE tags IS NOT NULL GROUP BY ALL) SELECT source, ID AS id, tags, n FROM c QUALIFY row_number() OVER (PARTITION BY source, ID ORDER BY n DESC, tags) = 1")
+def label_mode(spark, d):
+    return bouts.most_frequent(pred_frames(spark, d), "tags").select("source", F.col("ID").alias("id"), "tags", "n")
+
+
+@query(
+    f"""WITH {BOUTS}, w AS (SELECT *, lag(t1) OVER w AS p, lead(t0) OVER w AS q FROM bo WINDOW w AS (PARTITION BY source, ID ORDER BY t0, t1))
+SELECT source, ID AS id, CAST(event_id AS BIGINT) AS event_id, round(greatest(t0 - 35, p), 6) AS w0, round(least(t1 + 35, q), 6) AS w1 FROM w"""
+)
+def event_windows(spark, d):
+    return rounded(bouts.event_windows(_bouts(spark, d)).select("source", F.col("ID").alias("id"), "event_id", "w0", "w1"))
+
+
+@query(
+    f"""WITH {ANN}, r AS (SELECT annotation_id, behavior, t1 - t0 AS size, md5('42|' || annotation_id) AS k FROM an WHERE behavior IN ('dwelling', 'nondwelling', 'crawling')),
+o AS (SELECT *, coalesce(sum(round(size, 3)) OVER (PARTITION BY behavior ORDER BY k, annotation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM r)
+SELECT behavior, count(*) AS raw, count_if(round(before_, 3) < 300)::BIGINT AS fed, round(count_if(round(before_, 3) < 300) / count(*), 6) AS share FROM o GROUP BY behavior"""
+)
+def retention(spark, d):
+    raw = ann(spark, d).where(F.col("behavior").isin("dwelling", "nondwelling", "crawling"))
+    return rounded(bouts.retention(raw, ratio_sample(spark, d), ["behavior"]))
+
+
+@query()
+def contributing_events(spark, d):
+    return rounded(metrics.contributing_events(_judged(spark, d)).withColumnRenamed("ID", "id"))
+
+
+@query()
+def event_scores(spark, d):
+    return rounded(metrics.event_scores(metrics.event_confusion(_judged(spark, d)), ["source"]))
+
+
+@query()
+def postprocess_bouts(spark, d):
+    return rounded(postprocess.PostProcess(1.5, 0.6, 0.4, 1.0, 1.5).bouts(pred_frames(spark, d)).withColumnRenamed("ID", "id"))
+
+
+@query()
+def postprocess_search(spark, d):
+    rows, _ = stage(_judged(spark, d).drop("behavior", "tags"), "judged")
+    configs = [postprocess.PostProcess(m, on, off, 1.0, o) for m, on, off, o in [(0.0, 0.5, None, 0.0), (1.0, 0.5, None, 1.5), (2.0, 0.6, 0.4, 3.0)]]
+    return spark.createDataFrame(postprocess.search(rows, configs), "config string, f1 double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.operators import features, kernels
+from trackloom.operators import features, kernels, legacy
 from trackloom.operators.signals import base_signals
 from trackloom.operators.tracks import core
 from trackloom.plans.catalogue import FRAMES, rounded
@@ -118,13 +118,19 @@ def features_kernels(spark: SparkSession, d: str) -> DataFrame:
     return _wanted(spark, d, names, 4)
 
 
+def features_legacy(spark: SparkSession, d: str) -> DataFrame:
+    """Some first-generation features over the shortest of their windows."""
+    got = features.compute_columns(table(spark, d, "long_df"), legacy.columns(11), registry=legacy.LEGACY, **legacy.SIGNALS)
+    return rounded(got.drop("et").withColumnRenamed("ID", "id"), 4)
+
+
 def signals(spark: SparkSession, d: str) -> DataFrame:
     got = core(base_signals(table(spark, d, "long_df")))
     names = ["body_len", "bending", "v_head", "v_com", "bending_vel", "angle_body", "angle_heading", "omega_body", "omega_heading", "ht_ratio", "is_paused", "has_neighbor", "is_peak"]
     return rounded(got.select("source", F.col("ID").alias("id"), "frame", *names), 5)
 
 
-QUERIES |= {f.__name__: f for f in (features_trend, features_kernels, signals)}
+QUERIES |= {f.__name__: f for f in (features_trend, features_kernels, features_legacy, signals)}
 _STEP = 5
 _SLOPES = f"coalesce(coalesce(lead({{c}}, {_STEP}) OVER w, last_value({{c}}) OVER e) - coalesce(lag({{c}}, {_STEP}) OVER w, first_value({{c}}) OVER e), 0)"
 SQL["features_trend"] = (
