@@ -68,8 +68,9 @@ def test_hysteresis_matches_a_loop(rows):
                     state = (1 if p >= on else 0) if not state else (0 if p <= off else 1)
                 data.append(("A", track, f, f / 6, 0, p))
                 expected[(track, f)] = state
-        found = {(x["ID"], x["frame"]): x["state"] for x in islands.hysteresis(rows(SCHEMA, data), "prob", on, off).collect()}
-        assert found == expected
+        for block in (7, 8192):
+            found = {(x["ID"], x["frame"]): x["state"] for x in islands.hysteresis(rows(SCHEMA, data), "prob", on, off, block=block).collect()}
+            assert found == expected
 
 
 def test_fill_and_initiations(rows, got):

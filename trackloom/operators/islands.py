@@ -90,20 +90,31 @@ def close_and_open(df: DataFrame, value: str, close: int, open_: int, gap_s: flo
     return _joined(opened, value, keys)
 
 
-def hysteresis(df: DataFrame, prob: str, on: float, off: float, out: str = "state", keys: Sequence[str] = TRACK, order: str = "frame") -> DataFrame:
+def hysteresis(df: DataFrame, prob: str, on: float, off: float, out: str = "state", keys: Sequence[str] = TRACK, order: str = "frame", block: int = 8192) -> DataFrame:
     """Adds a 0/1 state: it goes on at ``prob >= on`` and off at ``prob <= off``; it starts off; null keeps it.
 
-    Where both hold (``on <= prob <= off``) the state turns over at every row. Needs rows of one segment per key.
+    Where both hold (``on <= prob <= off``) the state turns over at every row. Needs rows of one segment per key. A
+    block of rows is summed up by the turns in it and the last forced state; a scan over the blocks carries them on.
     """
     keys = list(keys)
     high, low = F.coalesce(F.col(prob) >= on, F.lit(False)), F.coalesce(F.col(prob) <= off, F.lit(False))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    both = df.withColumn("_turn", (high & low).cast("long")).withColumn("_set", F.when(high & ~low, 1).when(low & ~high, 0))
-    counted = both.withColumn("_turns", F.sum("_turn").over(w))
-    last = F.last(F.when(F.col("_set").isNotNull(), F.struct("_set", "_turns")), True).over(w)
-    seen = counted.withColumn("_last", last)
-    since = F.col("_turns") - F.coalesce("_last._turns", F.lit(0))
-    return seen.withColumn(out, ((F.coalesce("_last._set", F.lit(0)) + since) % 2).cast("int")).drop("_turn", "_set", "_turns", "_last")
+    forced = F.when(high & ~low, 1).when(low & ~high, 0)
+    rows = df.withColumns({"block": F.floor(F.col(order) / F.lit(block)), "_turn": (high & low).cast("long"), "_set": forced})
+    inside = Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_turns", F.sum("_turn").over(inside))
+    local = local.withColumn("_last", F.last(F.when(F.col("_set").isNotNull(), F.struct("_set", "_turns")), True).over(inside))
+    # a block's forced state with the turns after it, and its turns
+    ends = local.groupBy(*keys, "block").agg(F.max_by("_last", order).alias("_l"), F.sum("_turn").alias("_all"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_ahead", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    placed = F.when(F.col("_l").isNotNull(), F.struct(F.col("_l._set").alias("_set"), (F.col("_l._turns") + F.col("_ahead")).alias("_turns")))
+    carry = ends.withColumn("_placed", placed).withColumn("_carry", F.last("_placed", True).over(before)).select(*keys, "block", "_ahead", "_carry")
+    joined = local.alias("a").join(carry.alias("b"), same("a", "b", [*keys, "block"]))
+    turns = F.col("a._turns") + F.col("b._ahead")
+    own = F.col("a._last").isNotNull()
+    state = F.when(own, F.col("a._last._set")).otherwise(F.coalesce("b._carry._set", F.lit(0)))
+    since = F.when(own, F.col("a._turns") - F.col("a._last._turns")).otherwise(turns - F.coalesce("b._carry._turns", F.lit(0)))
+    return joined.select(*[f"a.{c}" for c in df.columns], ((state + since) % 2).cast("int").alias(out))
 
 
 def initiations(df: DataFrame, value: str, keys: Sequence[str] = TRACK, order: str = "frame") -> DataFrame:

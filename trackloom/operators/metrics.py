@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.islands import event_ids
-from trackloom.operators.tracks import TRACK, same
+from trackloom.operators.tracks import TRACK, core, row_shards, same
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -115,13 +115,14 @@ def event_confusion(df: DataFrame, truth: str = "truth", prediction: str = "pred
     true_events = both.where("truth = 1").groupBy(*TRACK, "t_run").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.avg(F.col("pred").cast("double")).alias("share"))
     found = (F.col("share") > least) if strict else (F.col("share") >= least)
     hits = true_events.select(*TRACK, "t0", "t1", "share", F.when(found, "tp").otherwise("fn").alias("kind"))
-    # rows near a true event or near the ends of a negative run are safe
-    w = Window.partitionBy(*TRACK, "segment").orderBy(order)
-    near_true = F.max(F.when(F.col("truth") == 1, 1).otherwise(0)).over(w.rowsBetween(-grace, grace)) == 1
-    run = Window.partitionBy(*TRACK, "t_run").orderBy(order)
-    at, size = F.row_number().over(run), F.count("*").over(Window.partitionBy(*TRACK, "t_run"))
-    at_edge = (F.col("truth") == 0) & ((at <= edge) | (at > size - edge))
-    judged = both.withColumn("safe", near_true | F.coalesce(at_edge, F.lit(False)))
+    # rows near a true event or near the ends of a negative run are safe; looked at in shards with a margin of that size
+    shards = row_shards(both, TRACK, order, margin=grace)
+    near = Window.partitionBy(*TRACK, "shard", "segment").orderBy("idx").rowsBetween(-grace, grace)
+    seen = core(shards.withColumn("near_true", F.max((F.coalesce("truth", F.lit(0)) == 1).cast("int")).over(near) == 1).withColumn("at", F.col("idx")))
+    ends = seen.groupBy(*TRACK, "t_run").agg(F.min("at").alias("from_"), F.max("at").alias("to_"))
+    placed = seen.alias("s").join(ends.alias("e"), same("s", "e", [*TRACK, "t_run"])).select("s.*", "e.from_", "e.to_")
+    at_edge = (F.col("truth") == 0) & ((F.col("at") - F.col("from_") < edge) | (F.col("to_") - F.col("at") < edge))
+    judged = placed.withColumn("safe", F.col("near_true") | F.coalesce(at_edge, F.lit(False)))
     false_events = judged.where("pred = 1").groupBy(*TRACK, "p_run").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.avg((~F.col("safe")).cast("double")).alias("share"))
     return hits.unionByName(false_events.where("share > 0").select(*TRACK, "t0", "t1", "share", F.lit("fp").alias("kind")))
 
