@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.tracks import TRACK, same
+from trackloom.plans.staging import stage
 
 
 def with_previous(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = TRACK, order: str = "frame", block: int = 8192) -> DataFrame:
@@ -76,10 +77,11 @@ def close_and_open(df: DataFrame, value: str, close: int, open_: int, gap_s: flo
     as 0. Columns as of :func:`runs`, with ``segment``.
     """
     keys = list(keys)
-    flat = df.withColumn(value, F.coalesce(F.col(value).cast("int"), F.lit(0)))
+    flat = df.select(*keys, order, time, F.coalesce(F.col(value).cast("int"), F.lit(0)).alias(value))
     segments = with_previous(flat, [time], keys, order)
     cut = F.col("prev").isNull() if gap_s is None else F.coalesce(F.col(time) - F.col(f"prev.{time}") > gap_s, F.lit(True))
-    in_segments = numbered(segments, cut, "segment", keys, order)
+    # written, since the next steps read it more than once
+    in_segments, _ = stage(numbered(segments, cut, "segment", keys, order), "segments")
     first = event_ids(in_segments, [value, "segment"], None, keys, time, order).groupBy(*keys, "segment", "event_id").agg(
         F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.min(time).alias("t0"), F.max(time).alias("t1"), F.count("*").alias("n")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.islands import event_ids
 from trackloom.operators.tracks import TRACK, core, row_shards, same
+from trackloom.plans.staging import stage
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -100,6 +101,13 @@ def probability_scores(df: DataFrame, truth: str = "truth", prob: str = "prob",
     return brier.withColumn("_k", F.lit(1)).join(ece.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
+def _runs_of_both(rows: DataFrame, gap_s: float, time: str, order: str) -> DataFrame:
+    """Numbers of the segment and of the runs of ``truth`` and ``pred`` inside it; each step is written, the next reads it more than once."""
+    cut, _ = stage(event_ids(rows, [], gap_s, TRACK, time, order).withColumnRenamed("event_id", "segment"), "segments")
+    marked, _ = stage(event_ids(cut, ["truth", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "t_run"), "truth-runs")
+    return stage(event_ids(marked, ["pred", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "p_run"), "both-runs")[0]
+
+
 def event_confusion(df: DataFrame, truth: str = "truth", prediction: str = "prediction", least: float = 0.5, strict: bool = True, grace: int = 30, edge: int = 9, gap_s: float = 0.5, time: str = "et", order: str = "frame") -> DataFrame:
     """Events of each track: ``kind`` ``tp``, ``fn`` or ``fp`` with ``source, ID, t0, t1, share``.
 
@@ -109,16 +117,14 @@ def event_confusion(df: DataFrame, truth: str = "truth", prediction: str = "pred
     as no event.
     """
     rows = df.select(*TRACK, order, time, F.col(truth).alias("truth"), F.coalesce(F.col(prediction).cast("int"), F.lit(0)).alias("pred"))
-    cut = event_ids(rows, [], gap_s, TRACK, time, order).withColumnRenamed("event_id", "segment")
-    marked = event_ids(cut, ["truth", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "t_run")
-    both = event_ids(marked, ["pred", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "p_run")
+    both = _runs_of_both(rows, gap_s, time, order)
     true_events = both.where("truth = 1").groupBy(*TRACK, "t_run").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.avg(F.col("pred").cast("double")).alias("share"))
     found = (F.col("share") > least) if strict else (F.col("share") >= least)
     hits = true_events.select(*TRACK, "t0", "t1", "share", F.when(found, "tp").otherwise("fn").alias("kind"))
     # rows near a true event or near the ends of a negative run are safe; looked at in shards with a margin of that size
     shards = row_shards(both, TRACK, order, margin=grace)
     near = Window.partitionBy(*TRACK, "shard", "segment").orderBy("idx").rowsBetween(-grace, grace)
-    seen = core(shards.withColumn("near_true", F.max((F.coalesce("truth", F.lit(0)) == 1).cast("int")).over(near) == 1).withColumn("at", F.col("idx")))
+    seen, _ = stage(core(shards.withColumn("near_true", F.max((F.coalesce("truth", F.lit(0)) == 1).cast("int")).over(near) == 1).withColumn("at", F.col("idx"))), "judged-rows")
     ends = seen.groupBy(*TRACK, "t_run").agg(F.min("at").alias("from_"), F.max("at").alias("to_"))
     placed = seen.alias("s").join(ends.alias("e"), same("s", "e", [*TRACK, "t_run"])).select("s.*", "e.from_", "e.to_")
     at_edge = (F.col("truth") == 0) & ((F.col("at") - F.col("from_") < edge) | (F.col("to_") - F.col("at") < edge))
@@ -134,9 +140,7 @@ def contributing_events(df: DataFrame, truth: str = "truth", prediction: str = "
     a row with a found event. ``share`` of a false event is 1.
     """
     rows = df.select(*TRACK, order, time, F.col(truth).alias("truth"), F.coalesce(F.col(prediction).cast("int"), F.lit(0)).alias("pred"))
-    cut = event_ids(rows, [], gap_s, TRACK, time, order).withColumnRenamed("event_id", "segment")
-    marked = event_ids(cut, ["truth", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "t_run")
-    both = event_ids(marked, ["pred", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "p_run")
+    both = _runs_of_both(rows, gap_s, time, order)
     # rows per pair of runs, then per run: the runs that meet are few
     pairs = both.groupBy(*TRACK, "truth", "t_run", "pred", "p_run").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.count("*").alias("n"))
     events = pairs.where("truth = 1").groupBy(*TRACK, "t_run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), (F.sum(F.when(F.col("pred") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))

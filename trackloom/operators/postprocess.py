@@ -15,6 +15,7 @@ from trackloom.operators import islands, metrics
 from trackloom.operators.frames import FPS
 from trackloom.operators.kernels import median_filter
 from trackloom.operators.tracks import TRACK, core, row_shards, same
+from trackloom.plans.staging import stage
 
 
 def filtered(df: DataFrame, value: str, n: int, order: str = "frame") -> DataFrame:
@@ -54,18 +55,20 @@ class PostProcess:
         rows = filtered(df.select(*TRACK, "frame", "et", F.coalesce("prob", F.lit(0.0)).alias("prob")), "prob", int(self.median_s * self.fps))
         if self.off is None:
             return rows.select(*TRACK, "frame", "et", (F.col("prob") >= self.on).cast("int").alias("state"))
-        cut = islands.event_ids(rows, []).withColumnRenamed("event_id", "segment")
+        cut, _ = stage(islands.event_ids(rows, []).withColumnRenamed("event_id", "segment"), "segments")
         return islands.hysteresis(cut, "prob", self.on, self.off, keys=[*TRACK, "segment"]).select(*TRACK, "frame", "et", "state")
 
     def bouts(self, df: DataFrame) -> DataFrame:
         """Runs of 1: ``source, ID, first, last, t0, t1, n``."""
-        runs = islands.close_and_open(self.states(df), "state", int(self.close_s * self.fps), int(self.open_s * self.fps))
+        states, _ = stage(self.states(df), "states")
+        runs = islands.close_and_open(states, "state", int(self.close_s * self.fps), int(self.open_s * self.fps))
         return runs.where("state = 1").select(*TRACK, "first", "last", "t0", "t1", "n")
 
     def predictions(self, df: DataFrame) -> DataFrame:
         """The rows with ``prediction`` 1 inside bouts, else 0. Bouts are met by blocks of frames."""
         width = 256
-        spread = self.bouts(df).withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+        bouts, _ = stage(self.bouts(df), "bouts")
+        spread = bouts.withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
         rows = df.withColumn("_b", F.floor(F.col("frame") / width))
         inside = (F.col("r.frame") >= F.col("b.first")) & (F.col("r.frame") <= F.col("b.last"))
         met = rows.alias("r").join(spread.alias("b"), same("r", "b", [*TRACK, "_b"]) & inside, "left")
