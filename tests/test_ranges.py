@@ -42,3 +42,17 @@ def test_label_frames_matches_brute_force(rows):
             expected.add((f, max(hits)[1]))
     found = ranges.label_frames(rows(FRAMES, frames), rows(SPANS, spans), [F.col("t0"), F.col("name")], ["name"], bucket_s=17.0)
     assert {(x["frame"], x["name"]) for x in found.collect()} == expected
+
+
+def test_nearest_has_no_limit_and_matches_brute_force(rows):
+    r = random.Random(4)
+    points = [("A", k, t, v) for k in range(2) for t in [round(r.choice([r.uniform(0, 50), r.uniform(4000, 4050)]), 1) for _ in range(60)] for v in (1, 2)] + [(None, 5, 7.0, 1), ("A", 3, None, 1), ("A", 3, float("nan"), 1)]
+    left = [("A", k, f, round(r.uniform(-900, 5000), 1), "") for k in range(4) for f in range(60)] + [(None, 5, 60, 1e6, ""), ("A", 0, 61, None, ""), ("A", 0, 62, float("nan"), "")]
+    expected = {}
+    for s, k, f, t, _ in left:
+        near = [(abs(p - t), p) for q, j, p, _ in points if (q, j) == (s, k) and p is not None and p == p] if t is not None and t == t else []
+        expected[(k, f)] = (min(near)[1], 1 if s is None else 2) if near else (None, None)
+    found = ranges.nearest(rows(FRAMES, left), rows("source string, ID int, et double, v int", points), ["v"], block_s=20.0).collect()
+    assert len(found) == len(left) and {(x["ID"], x["frame"]): (x["matched_at"], x["v"]) for x in found} == expected
+    tie = ranges.nearest(rows(FRAMES, [("A", 1, 1, 100.0, "")]), rows("source string, ID long, et double, v int", [("A", 1, 0.0, 1), ("A", 1, 200.0, 2)]), ["v"]).first()
+    assert (tie["matched_at"], tie["v"]) == (0.0, 1)

@@ -56,6 +56,15 @@ def test_annotation_tool(spark, got):
     assert [(r["tag"], r["n"]) for r in annotate.tag_memory(held).orderBy("place").collect()] == [("slow", 2), ("fast", 1)]
 
 
+def test_intervals_in_holes_of_a_track_are_snapped(spark):
+    seen = [*range(31), *range(1200, 1231)]
+    frames = spark.createDataFrame([("A", 1, f, f / 6) for f in seen], "source string, ID long, frame long, et double")
+    held = spark.createDataFrame([("a", "A", 1, 200.0, 201.0)], "annotation_id string, source string, ID long, t0 double, t1 double")
+    new = spark.createDataFrame([("n1", "A", 1, 40.0, 60.0), ("n2", "A", 1, 2.0, 180.0), ("n3", "A", 1, 102.5, 300.0)], "annotation_id string, source string, ID long, t0 double, t1 double")
+    added = {r["annotation_id"]: (r["t0_frame"], r["t1_frame"], r["overlaps"]) for r in annotate.add_intervals(new, frames, held).collect()}
+    assert added == {"n1": (30, 31, 0), "n2": (12, 1200, 0), "n3": (30, 1230, 1)}
+
+
 def test_models(spark):
     r = random.Random(1)
     data = [("A", k % 10, i, k % 2, (k % 2) + r.gauss(0, 0.4), r.gauss(0, 1)) for i, k in enumerate(range(1200))]

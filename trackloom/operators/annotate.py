@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.text import canonical_tags, tag_tokens
 from trackloom.operators.periods import merged_periods
-from trackloom.operators.ranges import asof_nearest
+from trackloom.operators.ranges import nearest
 from trackloom.operators.tracks import TRACK
 
 
@@ -16,17 +16,17 @@ def bounds(frames: DataFrame, time: str = "et") -> DataFrame:
     return frames.groupBy(*TRACK).agg(F.min(time).alias("begin"), F.max(time).alias("end"))
 
 
-def add_intervals(new: DataFrame, frames: DataFrame, existing: DataFrame, fps: float = 6.0, reach_s: float = 5.0) -> DataFrame:
+def add_intervals(new: DataFrame, frames: DataFrame, existing: DataFrame, fps: float = 6.0) -> DataFrame:
     """Intervals ready to store: clamped to their track, snapped to the nearest frame, at least a frame long.
 
-    Adds ``t0_frame``, ``t1_frame`` and ``overlaps``, the number of existing intervals that it overlaps. Intervals of
-    unknown tracks, or further than ``reach_s`` from any frame, are dropped. ``new`` needs ``annotation_id``.
+    Adds ``t0_frame``, ``t1_frame`` and ``overlaps``, the number of existing intervals that it overlaps. Only intervals
+    of unknown tracks are dropped: the nearest frame counts however far it is. ``new`` needs ``annotation_id``.
     """
     clamp = lambda c: F.greatest(F.least(F.col(c), F.col("end")), F.col("begin"))
     inside = new.join(bounds(frames), TRACK).withColumns({"t0": clamp("t0"), "t1": clamp("t1")}).drop("begin", "end")
     points = frames.select(*TRACK, "et", "frame").distinct()
     for c in ("t0", "t1"):
-        near = asof_nearest(inside, points, reach_s, [*TRACK, "annotation_id"], ["frame"], left_time=c, how="inner")
+        near = nearest(inside, points, ["frame"], left_time=c)
         inside = near.withColumn(c, F.col("matched_at")).withColumnRenamed("frame", f"{c}_frame").drop("matched_at")
     long = inside.withColumn("t1", F.when(F.col("t1") <= F.col("t0"), F.col("t0") + 1 / fps).otherwise(F.col("t1"))).withColumn("t1_frame", F.greatest("t1_frame", F.col("t0_frame") + 1))
     meet = (F.col("n.source") == F.col("e.source")) & (F.col("n.ID") == F.col("e.ID")) & (F.col("n.t0") < F.col("e.t1")) & (F.col("e.t0") < F.col("n.t1"))

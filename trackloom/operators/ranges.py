@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.frames import is_number
 from trackloom.operators.tracks import TRACK, same
 
 
@@ -60,6 +61,32 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance: float, left_key:
     return left.alias("l").join(wanted.alias("w"), same("l", "w", left_key), how).select("l.*", "w.matched_at", *[f"w.{c}" for c in add])
 
 
+def nearest(left: DataFrame, right: DataFrame, add: Sequence[str], keys: Sequence[str] = TRACK, left_time: str = "et", right_time: str = "et", block_s: float = 60.0) -> DataFrame:
+    """Each left row with the nearest right row of its track, however far: adds ``matched_at`` and ``add``.
+
+    Of two equally near rows the earlier wins, of rows at one time the one with the larger ``add`` values. Every left
+    row stays once, with nulls if its track has no right row or its time is no number. Both sides are put in one order
+    inside blocks of time; the last point before a block and the first one after it are carried in by a scan.
+    """
+    keys, time = list(keys), F.col("_t")
+    at = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.struct(*add).alias("_add")).where(is_number(time))
+    points = at.groupBy(*keys, "_t").agg(F.max("_add").alias("_add")).select(*keys, "_t", F.struct("_t", "_add").alias("_point"))
+    rows = left.select(*keys, F.col(left_time).cast("double").alias("_t"), F.struct(*left.columns).alias("_row"))
+    both = rows.unionByName(points, allowMissingColumns=True).withColumn("_block", F.floor(time / F.lit(block_s)))
+    over, inside = Window.partitionBy(*keys), Window.partitionBy(*keys, "_block")
+    # up to a row and those at its time, in both directions
+    upto = lambda order: inside.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = both.withColumns({"_before": F.last("_point", True).over(upto(time)), "_after": F.last("_point", True).over(upto(time.desc()))}).where("_row IS NOT NULL")
+    ends = both.groupBy(*keys, "_block").agg(F.min("_point").alias("_first"), F.max("_point").alias("_last"))
+    ahead = lambda order: over.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_block", F.last("_last", True).over(ahead(F.col("_block"))).alias("_behind"), F.last("_first", True).over(ahead(F.col("_block").desc())).alias("_ahead"))
+    joined = local.alias("a").join(carry.alias("b"), same("a", "b", [*keys, "_block"]))
+    found = joined.select("a._row", "a._t", F.coalesce("a._before", "b._behind").alias("_before"), F.coalesce("a._after", "b._ahead").alias("_after"))
+    earlier = F.col("_after").isNull() | (time - F.col("_before._t") <= F.col("_after._t") - time)
+    near = found.withColumn("_near", F.when(is_number(time), F.when(earlier, F.col("_before")).otherwise(F.col("_after"))))
+    return near.select("_row.*", F.col("_near._t").alias("matched_at"), *[F.col(f"_near._add.{c}").alias(c) for c in add])
+
+
 def padded_frames(frames: DataFrame, events: DataFrame, pad_s: float, event_id: str, frame_key: Sequence[str], keys: Sequence[str] = TRACK, time: str = "et", start: str = "t0", end: str = "t1", bucket_s: float = 60.0) -> DataFrame:
     """Frames within ``pad_s`` of an event, both ends included, each once: as target of an event if it lies in one.
 
