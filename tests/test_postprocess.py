@@ -62,3 +62,20 @@ def test_legacy_features(spark):
     wanted = [c for c in legacy.columns(30) if "coverage" in c or "rog" in c or "angular" in c]
     made = compute_columns(frames, wanted, registry=legacy.LEGACY, **legacy.SIGNALS)
     assert made.count() == 200 and made.where("w30_coverage > 1 OR w30_coverage <= 0").count() == 0
+
+
+def test_legacy_revisits_look_back_a_window_of_frames(spark):
+    data = [(*row[:3], row[3] if row[3] is not None or row[2] < 100 else row[5], *row[4:]) for row in walk("A", 1, 4400, 7)] + walk("A", 2, 100, 8)
+    wanted = [f"w{w}_{f}" for w in (30, 75) for f in ("revisitation_mean", "revis_slope_smooth")]
+    assert set(wanted) <= {*legacy.columns(30), *legacy.columns(75)} and "w11_revisitation_mean" not in legacy.columns(11)
+    made = compute_columns(spark.createDataFrame(data, FRAME_SCHEMA), wanted, registry=legacy.LEGACY, rows=100, **legacy.SIGNALS).toPandas()
+    for track in (1, 2):
+        found = made[made["ID"] == track].sort_values("frame")
+        x, y = (np.array([row[c] for row in data if row[1] == track], dtype=float) for c in (3, 4))
+        for w in (30, 75):
+            n, k, rows = 6 * w, w, len(x)
+            near = [np.nan_to_num(np.hypot(x[i] - x[i - n + 1 : i], y[i] - y[i - n + 1 : i]), nan=1e9).min() if i >= n else 0.0 for i in range(rows)]
+            mean = np.array([np.mean(near[max(i - n + 1, 0) : i + 1]) for i in range(rows)])
+            slope = mean[np.minimum(np.arange(rows) + k, rows - 1)] - mean[np.maximum(np.arange(rows) - k, 0)]
+            np.testing.assert_allclose(found[f"w{w}_revisitation_mean"].to_numpy(float), mean, rtol=1e-9, atol=1e-6)
+            np.testing.assert_allclose(found[f"w{w}_revis_slope_smooth"].to_numpy(float), slope, rtol=1e-9, atol=1e-6)

@@ -341,7 +341,8 @@ def compute_columns(df: DataFrame, columns: Iterable[str], fps: float = FPS, reg
         warnings.warn(f"unknown feature column {c}", stacklevel=2)
         del parsed[c]
     windows = sorted({w for _, w in parsed.values() if w is not None})
-    margin = 2 * max([int(w * fps) for w in windows], default=0) + int(fps) + 64
+    # the slope of a trailing mean over a look-back of a window needs two windows and a step
+    margin = 2 * max([int(w * fps) for w in windows], default=0) + max([int(w / 6 * fps) for w in windows], default=0) + int(fps) + 64
     out = base_signals(df, fps, rows=max(rows, 4 * margin), margin=margin, **signals)
     plans = [(w, registry.ordered([f for f, v in parsed.values() if v == w])) for w in [None, *windows]]
     kernels_wanted = {(registry.features[f].kernel, w) for w, names in plans for f in names if registry.features[f].kernel}

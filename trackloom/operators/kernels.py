@@ -74,6 +74,16 @@ def revisit(x: np.ndarray, y: np.ndarray, w: int) -> np.ndarray:
     return np.where(np.isfinite(best), best, 1e9)
 
 
+def trailing_mean(values: np.ndarray, n: int) -> np.ndarray:
+    """Mean of row i and up to n - 1 rows before it; values of 1e9 are summed apart, so that they take no digits from others."""
+    far = values >= 1e9
+    run = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    near, many = run(np.where(far, 0.0, values)), run(far)
+    stop = np.arange(1, len(values) + 1)
+    start = np.maximum(stop - n, 0)
+    return (near[stop] - near[start] + 1e9 * (many[stop] - many[start])) / (stop - start)
+
+
 def path_efficiency(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """Furthest distance from the window's first row over the path length, rows i - n//2 to i + n//2."""
     rows, half = len(x), n // 2
@@ -128,7 +138,7 @@ def with_kernels(df: DataFrame, wanted: Iterable[tuple[str, int]], fps: float) -
     if any(k == "turns" for k, _ in wanted):
         limit = rows.where("core").groupBy("source").agg(F.percentile_approx("_amp", AMPLITUDE_QUANTILE, 10_000).alias("_limit"))
         rows = rows.alias("r").join(limit.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").select("r.*", "l._limit")
-    names = {"turns": list(TURN_STATS), "frequency": ["frequency"], "efficiency": ["efficiency"], "revisit": ["revisit"]}
+    names = {"turns": list(TURN_STATS), "frequency": ["frequency"], "efficiency": ["efficiency"], "revisit": ["revisit"], "revisit_rows": ["revisit_mean"]}
     added = [f"_k{w}_{c}" for k, w in wanted for c in names[k]]
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
 
@@ -145,6 +155,8 @@ def with_kernels(df: DataFrame, wanted: Iterable[tuple[str, int]], fps: float) -
                 columns[f"_k{w}_frequency"] = dominant_frequency(shard["bending"].to_numpy(float), n, fps)
             elif kernel == "efficiency":
                 columns[f"_k{w}_efficiency"] = path_efficiency(x, y, n)
+            elif kernel == "revisit_rows":
+                columns[f"_k{w}_revisit_mean"] = trailing_mean(revisit(x, y, n), n)
             else:
                 columns[f"_k{w}_revisit"] = revisit(x, y, w)
         return pd.concat([shard, pd.DataFrame(columns, index=shard.index)], axis=1)

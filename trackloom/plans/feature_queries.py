@@ -119,8 +119,8 @@ def features_kernels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features_legacy(spark: SparkSession, d: str) -> DataFrame:
-    """Some first-generation features over the shortest of their windows."""
-    got = features.compute_columns(table(spark, d, "long_df"), legacy.columns(11), registry=legacy.LEGACY, **legacy.SIGNALS)
+    """The first-generation features over all of their windows."""
+    got = features.compute_columns(table(spark, d, "long_df"), [c for w in legacy.WINDOWS for c in legacy.columns(w)], registry=legacy.LEGACY, **legacy.SIGNALS)
     return rounded(got.drop("et").withColumnRenamed("ID", "id"), 4)
 
 
