@@ -65,6 +65,19 @@ def test_intervals_in_holes_of_a_track_are_snapped(spark):
     assert added == {"n1": (30, 31, 0), "n2": (12, 1200, 0), "n3": (30, 1230, 1)}
 
 
+def test_overlaps_count_once_and_meet_in_buckets(spark, capsys):
+    frames = spark.createDataFrame([("A", 1, f, f / 6) for f in range(3001)], "source string, ID long, frame long, et double")
+    r = random.Random(6)
+    spans = [(str(k), "A", 1, a / 6, b / 6) for k in range(80) for a in [r.randrange(2900)] for b in [min(a + r.choice([3, 60, 1500]), 3000)]]
+    kind = "annotation_id string, source string, ID long, t0 double, t1 double"
+    held = [*spans, ("x", "A", 1, -50.0, float("inf")), ("y", "A", 1, 900.0, float("inf")), ("z", "A", 1, 60.0, 60.0)]
+    added = annotate.add_intervals(spark.createDataFrame(spans, kind), frames, spark.createDataFrame(held, kind))
+    expected = {k: sum(a < d and c < b for _, _, _, c, d in held) for k, _, _, a, b in spans}
+    assert {x["annotation_id"]: x["overlaps"] for x in added.collect()} == expected
+    added.explain()
+    assert any("Join" in line and line.count("_bucket") >= 2 for line in capsys.readouterr().out.splitlines())
+
+
 def test_models(spark):
     r = random.Random(1)
     data = [("A", k % 10, i, k % 2, (k % 2) + r.gauss(0, 0.4), r.gauss(0, 1)) for i, k in enumerate(range(1200))]

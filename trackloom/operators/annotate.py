@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.text import canonical_tags, tag_tokens
 from trackloom.operators.periods import merged_periods
-from trackloom.operators.ranges import nearest
-from trackloom.operators.tracks import TRACK
+from trackloom.operators.ranges import _buckets, nearest, overlaps
+from trackloom.operators.tracks import TRACK, same
 
 
 def bounds(frames: DataFrame, time: str = "et") -> DataFrame:
@@ -16,21 +16,28 @@ def bounds(frames: DataFrame, time: str = "et") -> DataFrame:
     return frames.groupBy(*TRACK).agg(F.min(time).alias("begin"), F.max(time).alias("end"))
 
 
-def add_intervals(new: DataFrame, frames: DataFrame, existing: DataFrame, fps: float = 6.0) -> DataFrame:
+def add_intervals(new: DataFrame, frames: DataFrame, existing: DataFrame, fps: float = 6.0, bucket_s: float = 60.0) -> DataFrame:
     """Intervals ready to store: clamped to their track, snapped to the nearest frame, at least a frame long.
 
     Adds ``t0_frame``, ``t1_frame`` and ``overlaps``, the number of existing intervals that it overlaps. Only intervals
     of unknown tracks are dropped: the nearest frame counts however far it is. ``new`` needs ``annotation_id``.
     """
     clamp = lambda c: F.greatest(F.least(F.col(c), F.col("end")), F.col("begin"))
-    inside = new.join(bounds(frames), TRACK).withColumns({"t0": clamp("t0"), "t1": clamp("t1")}).drop("begin", "end")
+    ends = bounds(frames)
+    inside = new.join(ends, TRACK).withColumns({"t0": clamp("t0"), "t1": clamp("t1")}).drop("begin", "end")
     points = frames.select(*TRACK, "et", "frame").distinct()
     for c in ("t0", "t1"):
         near = nearest(inside, points, ["frame"], left_time=c)
         inside = near.withColumn(c, F.col("matched_at")).withColumnRenamed("frame", f"{c}_frame").drop("matched_at")
     long = inside.withColumn("t1", F.when(F.col("t1") <= F.col("t0"), F.col("t0") + 1 / fps).otherwise(F.col("t1"))).withColumn("t1_frame", F.greatest("t1_frame", F.col("t0_frame") + 1))
-    meet = (F.col("n.source") == F.col("e.source")) & (F.col("n.ID") == F.col("e.ID")) & (F.col("n.t0") < F.col("e.t1")) & (F.col("e.t0") < F.col("n.t1"))
-    hits = long.alias("n").join(existing.alias("e"), meet).groupBy("n.annotation_id").agg(F.count("*").alias("overlaps"))
+    # a pair meets in each bucket that both touch and counts in that of the later start, which lies in the track
+    past = F.col("end") + 1 / fps
+    near = existing.select(*TRACK, "t0", "t1").join(ends, TRACK).where(overlaps(F.col("t0"), F.col("t1"), F.col("begin"), past))
+    there = near.select(*TRACK, "t0", "t1", F.explode(_buckets(F.greatest("t0", "begin"), F.least("t1", past), bucket_s)).alias("_bucket"))
+    here = long.select("annotation_id", *TRACK, "t0", "t1", F.explode(_buckets(F.col("t0"), F.col("t1"), bucket_s)).alias("_bucket"))
+    later = F.floor(F.greatest("n.t0", "e.t0") / F.lit(bucket_s)).cast("long")
+    meet = same("n", "e", [*TRACK, "_bucket"]) & overlaps(F.col("n.t0"), F.col("n.t1"), F.col("e.t0"), F.col("e.t1"), False) & (F.col("n._bucket") == later)
+    hits = here.alias("n").join(there.alias("e"), meet).groupBy("n.annotation_id").agg(F.count("*").alias("overlaps"))
     tagged = long.withColumn("tags", canonical_tags(F.col("tags"))) if "tags" in long.columns else long
     return tagged.join(hits, "annotation_id", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)))
 
