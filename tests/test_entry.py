@@ -40,3 +40,10 @@ def test_query_equals_sql(spark, entry, name):
     expected = db.execute(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert plain(tuple(r) for r in found.select(*columns).collect()) == plain(expected)
     assert not any(math.isnan(v) for r in expected for v in r if isinstance(v, float))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_nearest_frame_keeps_every_annotation(spark, entry):
+    test_query_equals_sql(spark, entry, "nearest_frame_any")
+    events = entry.queries()["clean_annotations"](spark, DATA).select("annotation_id", "source", "id", "t0").distinct().count()
+    assert entry.queries()["nearest_frame_any"](spark, DATA).count() == events > entry.queries()["nearest_frame"](spark, DATA).count()

@@ -186,6 +186,19 @@ def nearest_frame(spark, d):
     return got.select("annotation_id", "source", F.col("ID").alias("id"), "frame")
 
 
+@query(
+    f"""WITH {PRED}, {ANN}, e AS (SELECT DISTINCT annotation_id, source, ID, t0 FROM an),
+b AS (SELECT e.*, p.frame AS f0, p.et AS e0 FROM e ASOF LEFT JOIN pf p ON e.source = p.source AND e.ID = p.ID AND e.t0 >= p.et),
+c AS (SELECT b.*, p.frame AS f1, p.et AS e1 FROM b ASOF LEFT JOIN pf p ON b.source = p.source AND b.ID = p.ID AND b.t0 <= p.et)
+SELECT annotation_id, source, ID AS id, CASE WHEN f1 IS NULL OR t0 - e0 <= e1 - t0 THEN f0 ELSE f1 END AS frame FROM c"""
+)
+def nearest_frame_any(spark, d):
+    """The nearest frame however far; annotations of unknown tracks stay, without a frame."""
+    events = ann(spark, d).select("annotation_id", "source", "ID", "t0").distinct()
+    got = ranges.nearest(events, pred_frames(spark, d).select("source", "ID", "et", "frame"), ["frame"], left_time="t0")
+    return got.select("annotation_id", "source", F.col("ID").alias("id"), "frame")
+
+
 @query("SELECT source, ID AS id, count(*) AS n FROM long_df l WHERE EXISTS (SELECT 1 FROM split_registry r WHERE r.source = l.source AND r.ID = l.ID AND r.split = 'train') GROUP BY ALL")
 def semi_train(spark, d):
     train = table(spark, d, "split_registry").where("split = 'train'")
