@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from test_features import SCHEMA as FRAME_SCHEMA
 from test_features import walk
@@ -79,3 +80,23 @@ def test_legacy_revisits_look_back_a_window_of_frames(spark):
             slope = mean[np.minimum(np.arange(rows) + k, rows - 1)] - mean[np.maximum(np.arange(rows) - k, 0)]
             np.testing.assert_allclose(found[f"w{w}_revisitation_mean"].to_numpy(float), mean, rtol=1e-9, atol=1e-6)
             np.testing.assert_allclose(found[f"w{w}_revis_slope_smooth"].to_numpy(float), slope, rtol=1e-9, atol=1e-6)
+
+
+def test_summaries_hold_no_group_in_one_buffer(spark, got):
+    r = random.Random(9)
+    tracks = [(s, k, r.choice([0.0, round(r.random(), 3)])) for s in ("A", None) for k in range(60)] + [("Z", 1, 0.0), ("Z", 2, None)]
+    made = bouts.hurdle(spark.createDataFrame(tracks, "source string, ID long, mean double"))
+    expected = []
+    for s in (None, "A", "Z"):
+        v = [m for q, _, m in tracks if q == s]
+        up = [m for m in v if m]
+        expected.append((s, pytest.approx(100 * len(up) / sum(m is not None for m in v)), *(pytest.approx(np.quantile(up, p)) if up else None for p in (0.25, 0.5, 0.75)), len(v)))
+    assert got(made) == expected
+    spans = spark.createDataFrame([(d,) for d in (4.0, 1.0, 2.0, 9.0)] + [(None,)], "d double")
+    durations = bouts.duration_summary(spans, {"all": F.lit(True), "long": F.col("d") > 3, "none": F.col("d").isNull()}, F.col("d"))
+    assert got(durations) == [("all", 5, 1.0, 3.0, 9.0), ("long", 2, 4.0, 6.5, 9.0), ("none", 1, None, None, None)]
+    places = spark.createDataFrame([("A", k, x, 0.0) for k in range(4) for x in (0.0, float(k))] + [("A", 9, None, None)], "source string, ID long, x double, y double")
+    span = bouts.track_range(places)
+    assert span.first()["span"] == pytest.approx(2.25 * 1.25) and got(bouts.track_range(places.limit(0))) == [(None,)]
+    for df in (made, durations, span):
+        assert "percentile" not in (plan := df._jdf.queryExecution().toString().lower()) and "median(" not in plan

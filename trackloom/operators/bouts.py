@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.islands import event_ids, with_previous
-from trackloom.operators.tracks import TRACK
+from trackloom.operators.tracks import TRACK, group_quantiles, same
+from trackloom.plans.staging import stage
 
 
 def duration_summary(df: DataFrame, sets: dict[str, Column], duration: Column) -> DataFrame:
     """``n, shortest, median, longest`` of durations per named set; a row may be in several sets."""
     named = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in sets.items()]))
-    return df.select(duration.alias("d"), F.explode(named).alias("tag_set")).groupBy("tag_set").agg(F.count("*").alias("n"), F.min("d").alias("shortest"), F.median("d").alias("median"), F.max("d").alias("longest"))
+    rows = df.select(duration.alias("d"), F.explode(named).alias("tag_set"))
+    ends = rows.groupBy("tag_set").agg(F.count("*").alias("n"), F.min("d").alias("shortest"), F.max("d").alias("longest"))
+    middle = group_quantiles(rows, ["tag_set"], ["d"]).withColumnRenamed("d", "median")
+    return ends.join(middle, "tag_set", "left").select("tag_set", "n", "shortest", "median", "longest")
 
 
 def track_summary(df: DataFrame, value: str, keys: Sequence[str] = TRACK) -> DataFrame:
@@ -26,10 +30,15 @@ def track_summary(df: DataFrame, value: str, keys: Sequence[str] = TRACK) -> Dat
 
 def hurdle(per_track: DataFrame, value: str = "mean", by: Sequence[str] = ("source",)) -> DataFrame:
     """Share of tracks above 0 in percent, and quartiles of those."""
-    above = F.col(value) > 0
-    positive = F.when(above, F.col(value))
-    q = lambda p, name: F.percentile(positive, p).alias(name)
-    return per_track.groupBy(*by).agg((F.avg(above.cast("double")) * 100).alias("percent_above"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.count("*").alias("n"))
+    # written, since the quantiles read it more than once
+    held, _ = stage(per_track.select(*by, F.col(value).alias("_value")), "hurdle")
+    above = F.col("_value") > 0
+    out = held.groupBy(*by).agg((F.avg(above.cast("double")) * 100).alias("percent_above"), F.count("*").alias("n"))
+    positive = held.where(above)
+    for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        found = group_quantiles(positive, by, ["_value"], p)
+        out = out.alias("a").join(found.alias("b"), same("a", "b", by), "left").select("a.*", F.col("b._value").alias(name))
+    return out.select(*by, "percent_above", "q1", "median", "q3", "n")
 
 
 def mean_interval(per_track: DataFrame, value: str = "mean", by: Sequence[str] = ("source",), z: float = 1.96) -> DataFrame:
@@ -134,7 +143,7 @@ def turn_dynamics(df: DataFrame, heading: str, value: str = "prediction", order:
 def track_range(df: DataFrame, q: float = 0.75, stretch: float = 1.25) -> DataFrame:
     """A quantile over tracks of the wider of their x and y ranges, stretched: ``span``."""
     per = df.groupBy(*TRACK).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("range"))
-    return per.agg((F.percentile("range", q) * stretch).alias("span"))
+    return group_quantiles(per, [], ["range"], q).select((F.col("range") * stretch).alias("span"))
 
 
 def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence[str], share: bool = False) -> DataFrame:
