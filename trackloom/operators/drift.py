@@ -1,13 +1,15 @@
 """Schemas that drift between files: rescue-column ingestion.
 
-Every readable record is mapped onto a target schema: keys are resolved by an alias table without regard to case,
-values are cast to the target types, and whatever is unknown or cannot be cast stays in a JSON rescue column. Approved
-fields are promoted to typed columns later, and their rescued values are replayed into them. The changes of fields
-between successive files of a series are reported.
-
-Defined results: cut-off lines, null records and JSON values other than objects are unreadable and left out; lines
-delivered twice count once; a field whose values are all null in a file has no type there and isn't ``retyped``; empty
-tables give empty results; extra columns of the input are ignored.
+Every line is mapped onto a target schema: keys are resolved by an alias table without regard to case, values are cast
+to the target types, and whatever is unknown, repeated, unreadable or cannot be cast stays in a JSON rescue column.
+Approved fields are promoted to typed columns later, and their rescued values are replayed into them. The changes of
+fields between successive files of a series are read off the ingested table, which keeps every key as it was written.
+
+Defined results: every line gives a row; a line that isn't one JSON object (cut off, null, another value, more behind
+the object, a key repeated inside a nested object) goes whole into ``rescued`` as ``unreadable``; of a repeated key the
+first value counts and the others are rescued; lines delivered twice count once; a field whose values are all null in a
+file has no type there and isn't ``retyped``; lines without ``series`` or ``file_no`` are ingested, but no file is
+compared with theirs; empty tables give empty results; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,23 +18,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.frames import need
-
-#: fixed values: the spellings of each annotation column, lower case
-ALIASES = {
-    "source": ["source", "file", "source_file", "recording", "src"],
-    "AN": ["an", "animal_no"],
-    "ID": ["id", "larva", "track_id"],
-    "t0": ["t0", "t0_sec", "t_start", "start_s", "onset"],
-    "t1": ["t1", "t1_sec", "t_end", "end_s", "offset_s"],
-    "Behavior": ["behavior", "behaviour", "beh", "label"],
-    "tags": ["tags", "tag", "tag_list", "keywords"],
-    "notes": ["notes", "note", "comment"],
-    "annotator": ["annotator", "user", "scored_by"],
+from trackloom.plans.staging import stage
+
+#: fixed values: the spellings of annotation columns that the project's loaders know, lower case
+KNOWN_ALIASES = {
+    "source": ["source", "file", "source_file"],
+    "AN": ["an"],
+    "ID": ["id"],
+    "t0": ["t0", "t0_sec"],
+    "t1": ["t1", "t1_sec"],
+    "Behavior": ["behavior"],
+    "tags": ["tags", "tag"],
+    "notes": ["notes"],
+    "annotator": ["annotator"],
+}
+#: fixed values: spellings approved for session files, as :func:`propose_aliases` shows them
+APPROVED_ALIASES = {
+    "source": ["recording", "src"],
+    "AN": ["animal_no"],
+    "ID": ["larva", "track_id"],
+    "t0": ["t_start", "start_s", "onset"],
+    "t1": ["t_end", "end_s", "offset_s"],
+    "Behavior": ["behaviour", "beh", "label"],
+    "tags": ["tag_list", "keywords"],
+    "notes": ["note", "comment"],
+    "annotator": ["user", "scored_by"],
 }
+ALIASES = {field: [*KNOWN_ALIASES[field], *APPROVED_ALIASES[field]] for field in KNOWN_ALIASES}
 TARGET = {"source": "string", "AN": "long", "ID": "long", "t0": "seconds", "t1": "seconds", "Behavior": "string", "tags": "packed", "notes": "string", "annotator": "string"}
 #: what values of the target types of our own are stored as
 PLAIN_TYPES = {"seconds": "double", "packed": "string"}
 LINE = ["file_id", "series", "file_no", "line_no"]
+RESCUED = "array<struct<field:string,key:string,kind:string,text:string,reason:string>>"
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def _canonical(key: Column, aliases: dict[str, list[str]]) -> Column:
@@ -48,22 +66,21 @@ def _json_type(value: Column) -> Column:
 
 
 def read_fields(records: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
-    """Readable records once each: the line's key and ``fields``, an array of ``field, key, kind, text``."""
+    """Every line: its key, ``record`` and ``fields``, an array of ``field, key, kind, text``, null where unreadable."""
     need(records, [*LINE, "record"])
-    lines = records.select(*LINE, "record").where(F.col("record").isNotNull()).distinct()
-    parsed = lines.withColumn("v", F.try_parse_json("record"))
-    readable = parsed.where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
-    entries = F.map_entries(F.from_json("record", "map<string,variant>"))
+    # inside brackets, so that anything behind the object is seen too; a map keeps repeated keys
+    objects = F.from_json(F.concat(F.lit("["), F.col("record"), F.lit("]")), "array<map<string,variant>>", STRICT)
     field = F.transform(
-        entries,
+        F.map_entries(F.get("objects", F.lit(0))),
         lambda e: F.struct(
             _canonical(e["key"], aliases).alias("field"),
             e["key"].alias("key"),
             _json_type(e["value"]).alias("kind"),
-            F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.to_json(e["value"])).alias("text"),
+            F.when(_json_type(e["value"]).isNotNull(), F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.to_json(e["value"]))).alias("text"),
         ),
     )
-    return readable.select(*LINE, field.alias("fields"))
+    parsed = records.select(*LINE, "record", objects.alias("objects"))
+    return parsed.select(*LINE, "record", F.when(F.size("objects") == 1, field).alias("fields"))
 
 
 def _seconds(text: Column) -> Column:
@@ -90,74 +107,115 @@ def _cast(text: Column, kind: Column, wanted: str) -> Column:
     return F.when(kind.isin("number", "string", "boolean"), text.try_cast(wanted))
 
 
-def ingest(records: DataFrame, aliases: dict[str, list[str]] = ALIASES, target: dict[str, str] = TARGET) -> DataFrame:
-    """One row per readable record: the line's key, the target columns and ``rescued``.
+def ingest(records: DataFrame, aliases: dict[str, list[str]] = ALIASES, target: dict[str, str] = TARGET, once: bool = True) -> DataFrame:
+    """One row per line: the line's key, the target columns, ``written`` and ``rescued``.
 
-    ``rescued`` is a JSON object of the fields that the target schema doesn't have or whose value couldn't be cast, with
-    the key as written and the JSON type; null if there are none. Of two keys of one record that stand for the same
-    column the first one counts and the other is rescued. ``seconds`` and ``packed`` are target types for times in
-    several spellings and for lists.
+    ``written`` lists ``field, key, kind`` of the values in the target columns, the key as written and its JSON type.
+    ``rescued`` is a JSON list of the rest, ``field, key, kind, text, reason``, or null: the ``reason`` is ``unknown`` (a
+    field that the target doesn't have), ``repeated`` (the record had that column before), ``uncastable``, or
+    ``unreadable`` for a whole line. ``seconds`` and ``packed`` are target types for times in several spellings and for
+    lists. Without ``once`` lines delivered twice stay two rows.
     """
-    fields = read_fields(records, aliases)
+    lines = records.select(*LINE, "record").distinct() if once else records
+    fields = read_fields(lines, aliases)
     first = lambda name: F.get(F.filter("fields", lambda e: e["field"] == name), F.lit(0))
-    typed = fields
-    for name, wanted in target.items():
-        typed = typed.withColumn(f"_{name}", first(name))
-    casted = [_cast(F.col(f"_{name}.text"), F.col(f"_{name}.kind"), wanted).alias(name) for name, wanted in target.items()]
-    typed = typed.select(*LINE, "fields", *[f"_{n}" for n in target], *casted)
-    failed = F.array_compact(F.array(*[F.when(F.col(f"_{n}.kind").isNotNull() & F.col(n).isNull(), F.col(f"_{n}.key")) for n in target]))
-    used = F.array_compact(F.array(*[F.col(f"_{n}.key") for n in target]))
-    loose = F.filter("fields", lambda e: e["kind"].isNotNull() & (~F.array_contains(used, e["key"]) | F.array_contains(failed, e["key"])))
-    as_map = F.map_from_entries(F.transform(loose, lambda e: F.struct(e["key"], F.struct(e["field"].alias("field"), e["kind"].alias("kind"), e["text"].alias("text")))))
-    return typed.select(*LINE, *target, F.when(F.size(loose) > 0, F.to_json(as_map)).alias("rescued"))
-
-
-def promote(table: DataFrame, fields: dict[str, str], aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
+    chosen = fields.select("*", *[first(name).alias(f"_{name}") for name in target])
+    cast = [_cast(F.col(f"_{name}.text"), F.col(f"_{name}.kind"), wanted).alias(name) for name, wanted in target.items()]
+    typed = chosen.select(*LINE, "record", "fields", *[f"_{name}" for name in target], *cast)
+    failed = F.array_compact(F.array(*[F.when(F.col(f"_{n}.kind").isNotNull() & F.col(n).isNull(), n) for n in target]))
+    written = F.array_compact(F.array(*[F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n).alias("field"), F.col(f"_{n}.key").alias("key"), F.col(f"_{n}.kind").alias("kind"))) for n in target]))
+
+    def reason(e: Column, i: Column) -> Column:
+        known = F.when(F.array_position("names", e["field"]) != i + 1, "repeated").when(F.array_contains("failed", e["field"]), "uncastable")
+        return F.when(e["field"].isin(*target), known).otherwise("unknown")
+
+    judged = F.transform("fields", lambda e, i: F.struct(e["field"].alias("field"), e["key"].alias("key"), e["kind"].alias("kind"), e["text"].alias("text"), reason(e, i).alias("reason")))
+    none = F.lit(None).cast("string")
+    whole = F.array(F.struct(none.alias("field"), none.alias("key"), none.alias("kind"), F.col("record").alias("text"), F.lit("unreadable").alias("reason")))
+    rest = typed.withColumns({"names": F.col("fields.field"), "failed": failed}).withColumn("rest", F.when(F.col("fields").isNull(), whole).otherwise(F.filter(judged, lambda e: e["reason"].isNotNull())))
+    return rest.select(*LINE, *target, written.alias("written"), F.when(F.size("rest") > 0, F.to_json("rest")).alias("rescued"))
+
+
+def promote(table: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Give ``table`` typed columns for approved ``fields`` and replay their rescued values into them.
 
-    An existing column keeps its values, in the approved type, and is only filled where it is null. What could be replayed leaves ``rescued``.
+    An existing column keeps its values, in the approved type, and is only filled where it is null. Of several rescued
+    values the first that can be cast counts. What could be replayed moves from ``rescued`` to ``written``, and so does
+    a JSON null.
     """
-    held = "map<string,struct<field:string,kind:string,text:string>>"
-    out = table.withColumn("_r", F.map_entries(F.from_json("rescued", held)))
+    out = table.withColumn("_r", F.from_json("rescued", RESCUED))
     for name, wanted in fields.items():
-        entry = F.get(F.filter("_r", lambda e: e["value"]["field"] == name), F.lit(0))
-        out = out.withColumn("_e", entry).withColumn("_v", _cast(F.col("_e.value.text"), F.col("_e.value.kind"), wanted))
-        replayed = F.col("_v").isNotNull()
-        if name in table.columns:
-            replayed = replayed & F.col(name).isNull()
-            kept = F.col(name).cast("string").try_cast(PLAIN_TYPES.get(wanted, wanted))
-            out = out.withColumn("_done", F.when(replayed, F.col("_e.key"))).withColumn(name, F.coalesce(kept, F.col("_v")))
-        else:
-            out = out.withColumn("_done", F.when(replayed, F.col("_e.key"))).withColumn(name, F.col("_v"))
-        out = out.withColumn("_r", F.when(F.col("_done").isNull(), F.col("_r")).otherwise(F.filter("_r", lambda e: e["key"] != F.col("_done"))))
-    rescued = F.when(F.size("_r") > 0, F.to_json(F.map_from_entries("_r")))
-    return out.withColumn("rescued", rescued).drop("_r", "_e", "_v", "_done")
-
-
-def changes(records: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
-    """Changes of fields between a file and the one before it in its series: ``file_id, field, change``.
-
-    ``change`` is ``added``, ``removed``, ``renamed`` (key written differently) or ``retyped`` (other JSON type).
-    """
-    entries = read_fields(records, aliases).select("series", "file_no", "file_id", F.explode("fields").alias("e"))
-    seen = entries.groupBy("series", "file_no", "file_id", F.col("e.field").alias("field")).agg(
-        F.sort_array(F.collect_set("e.key")).alias("keys"), F.sort_array(F.collect_set("e.kind")).alias("kinds")
+        out = _replay(out, name, wanted)
+    return out.withColumn("rescued", F.when(F.size("_r") > 0, F.to_json("_r"))).drop("_r", "_e", "_kept")
+
+
+def _replay(table: DataFrame, name: str, wanted: str) -> DataFrame:
+    mine = F.filter("_r", lambda e: e["field"].eqNullSafe(F.lit(name)))
+    fits = F.get(F.filter(mine, lambda e: _cast(e["text"], e["kind"], wanted).isNotNull()), F.lit(0))
+    empty = F.get(F.filter(mine, lambda e: e["kind"].isNull()), F.lit(0))
+    kept = F.col(name).cast("string").try_cast(PLAIN_TYPES.get(wanted, wanted)) if name in table.columns else F.lit(None)
+    # an existing value stays, and what was rescued beside it too
+    out = table.withColumns({"_kept": kept, "_e": F.when(kept.isNull(), F.coalesce(fits, empty))})
+    moved = F.struct(F.col("_e.field").alias("field"), F.col("_e.key").alias("key"), F.col("_e.kind").alias("kind"))
+    none = F.col("_e").isNull()
+    return out.withColumns(
+        {
+            name: F.coalesce("_kept", _cast(F.col("_e.text"), F.col("_e.kind"), wanted)),
+            "written": F.when(none, F.col("written")).otherwise(F.array_append("written", moved)),
+            "_r": F.when(none, F.col("_r")).otherwise(F.filter("_r", lambda e, i: i + 1 != F.array_position("_r", F.col("_e")))),
+        }
     )
+
+
+def file_fields(ingested: DataFrame) -> DataFrame:
+    """One row per file: ``series, file_no, file_id`` and ``seen``, per field its keys as written and its JSON types."""
+    known = F.transform("written", lambda e: F.struct(e["field"], e["key"], e["kind"]))
+    rescued = F.transform(F.filter(F.from_json("rescued", RESCUED), lambda e: e["reason"] != "unreadable"), lambda e: F.struct(e["field"], e["key"], e["kind"]))
+    both = F.concat(known, F.coalesce(rescued, F.array().cast("array<struct<field:string,key:string,kind:string>>")))
     # a file without readable records still stands between its neighbours
-    files = records.where(F.col("series").isNotNull() & F.col("file_no").isNotNull()).select("series", "file_no", "file_id").distinct()
-    steps = files.select("*", F.lag("file_no").over(Window.partitionBy("series").orderBy("file_no")).alias("prior_no")).where(F.col("prior_no").isNotNull())
-    now = seen.join(steps, ["series", "file_no", "file_id"]).select("series", "file_no", "file_id", "field", F.col("keys").alias("k1"), F.col("kinds").alias("t1"))
-    past = steps.alias("s").join(seen.alias("p"), (F.col("s.series") == F.col("p.series")) & (F.col("s.prior_no") == F.col("p.file_no"))).select(
-        "s.series", "s.file_no", "s.file_id", "p.field", F.col("p.keys").alias("k0"), F.col("p.kinds").alias("t0")
-    )
-    both = now.join(past, ["series", "file_no", "file_id", "field"], "full")
-    met = F.col("k0").isNotNull() & F.col("k1").isNotNull()
-    change = F.array_compact(
-        F.array(
-            F.when(F.col("k0").isNull(), "added"),
-            F.when(F.col("k1").isNull(), "removed"),
-            F.when(met & (F.col("k0") != F.col("k1")), "renamed"),
-            F.when(met & (F.size("t0") > 0) & (F.size("t1") > 0) & (F.col("t0") != F.col("t1")), "retyped"),
-        )
+    each = ingested.where("series IS NOT NULL AND file_no IS NOT NULL").select("series", "file_no", "file_id", F.explode_outer(both).alias("e"))
+    seen = each.groupBy("series", "file_no", "file_id", F.col("e.field").alias("field")).agg(
+        F.sort_array(F.collect_set("e.key")).alias("keys"), F.sort_array(F.collect_set("e.kind")).alias("kinds")
     )
-    return both.select("file_id", "field", F.explode(change).alias("change"))
+    return seen.groupBy("series", "file_no", "file_id").agg(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "keys", "kinds"))).alias("seen"))
+
+
+def changes(records: DataFrame, aliases: dict[str, list[str]] = ALIASES, target: dict[str, str] = TARGET) -> DataFrame:
+    """Changes of fields between a file and the one before it in its series: ``file_id, field, change``.
+
+    ``change`` is ``added``, ``removed``, ``renamed`` (key written differently) or ``retyped`` (other JSON type). They
+    are read off the table that :func:`ingest` gives; sets of keys don't need lines delivered twice taken out.
+    """
+    files = file_fields(ingest(records, aliases, target, once=False))
+    steps = files.withColumn("past", F.lag("seen").over(Window.partitionBy("series").orderBy("file_no"))).where(F.col("past").isNotNull())
+    other = lambda side, e: F.get(F.filter(side, lambda o: o["field"] == e["field"]), F.lit(0))
+
+    def judged(e: Column) -> Column:
+        before = other("past", e)
+        typed = (F.size(before["kinds"]) > 0) & (F.size(e["kinds"]) > 0) & (before["kinds"] != e["kinds"])
+        found = F.array(F.when(before.isNull(), "added"), F.when(before["keys"] != e["keys"], "renamed"), F.when(typed, "retyped"))
+        return F.transform(F.array_compact(found), lambda c: F.struct(e["field"].alias("field"), c.alias("change")))
+
+    gone = F.transform(F.filter("past", lambda e: other("seen", e).isNull()), lambda e: F.struct(e["field"].alias("field"), F.lit("removed").alias("change")))
+    return steps.select("file_id", F.explode(F.concat(F.flatten(F.transform("seen", judged)), gone)).alias("c")).select("file_id", "c.field", "c.change")
+
+
+def propose_aliases(ingested: DataFrame, target: dict[str, str] = TARGET, least: float = 0.5) -> DataFrame:
+    """Target columns that unknown fields may stand for: ``field, column, overlap``.
+
+    ``overlap`` is the share of the field's values that also occur in the column. A field that stands beside the column
+    in some record is no spelling of it. Of the columns left the one with the largest overlap is proposed.
+    """
+    unknown = F.filter(F.from_json("rescued", RESCUED), lambda e: (e["reason"] == "unknown"))
+    # written, since it is read three times
+    rows, _ = stage(ingested.select(unknown.alias("u"), F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in target]).alias("k"), F.col("written.field").alias("beside")), "proposed")
+    fields = rows.select(F.explode("u").alias("e"), "beside")
+    plain = lambda v: F.coalesce(v.try_cast("double").cast("string"), v)
+    mine = fields.where("e.kind IS NOT NULL").groupBy(F.col("e.field").alias("field"), plain(F.col("e.text")).alias("value")).agg(F.count("*").alias("n"))
+    known = rows.select(F.explode("k").alias("e")).where("e.value IS NOT NULL").select("e.column", plain(F.col("e.value")).alias("value")).distinct()
+    total = mine.groupBy("field").agg(F.sum("n").alias("total"))
+    met = mine.join(known, "value").groupBy("field", "column").agg(F.sum("n").alias("met"))
+    together = fields.select(F.col("e.field").alias("field"), F.explode("beside").alias("column")).distinct()
+    scored = met.join(together, ["field", "column"], "left_anti").join(total, "field").select("field", "column", (F.col("met") / F.col("total")).alias("overlap"))
+    best = scored.where(F.col("overlap") >= least).groupBy("field").agg(F.max(F.struct("overlap", "column")).alias("b"))
+    return best.select("field", "b.column", "b.overlap")

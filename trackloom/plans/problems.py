@@ -18,12 +18,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "session_records"))
 
 
+def _listed(ingested: DataFrame) -> DataFrame:
+    """``written`` and ``rescued`` as one string each."""
+    entry = lambda *parts: F.concat_ws(":", *[F.coalesce(p, F.lit("")) for p in parts])
+    written = F.transform("written", lambda e: entry(e["field"], e["key"], e["kind"]))
+    rest = F.transform(F.from_json("rescued", drift.RESCUED), lambda e: entry(e["reason"], e["field"], e["key"], e["kind"], F.when(e["kind"] != "number", e["text"])))
+    return ingested.withColumns({"written": F.array_join(F.array_sort(written), "|"), "rescued": F.array_join(F.array_sort(rest), "|")})
+
+
 def p1_ingested(spark: SparkSession, d: str) -> DataFrame:
-    return drift.ingest(table(spark, d, "session_records"))
+    return _listed(drift.ingest(table(spark, d, "session_records")))
 
 
 def p1_promoted(spark: SparkSession, d: str) -> DataFrame:
-    return drift.promote(p1_ingested(spark, d), APPROVED)
+    return _listed(drift.promote(drift.ingest(table(spark, d, "session_records")), APPROVED))
+
+
+def p1_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """What the loaders' own spellings leave unknown, and the columns it may stand for."""
+    made = drift.ingest(table(spark, d, "session_records"), drift.KNOWN_ALIASES)
+    return drift.propose_aliases(made).withColumn("overlap", F.round("overlap", 6))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,12 +66,48 @@ def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ingested, p1_promoted, p4_found, p4_grid, p5_found, p6_found, p7_found, p7_reasons)
+    f.__name__: f for f in (p1_found, p1_ingested, p1_promoted, p1_aliases, p4_found, p4_grid, p5_found, p6_found, p7_found, p7_reasons)
 }
 
 _FIELD = "CASE " + " ".join(f"WHEN lower(key) IN ({', '.join(repr(n) for n in names)}) THEN '{field}'" for field, names in drift.ALIASES.items()) + " ELSE key END"
 
+def _seconds(text: str) -> str:
+    """Seconds of a text with up to two colons."""
+    part = lambda i: f"TRY_CAST(split_part(replace({text}, ',', '.'), ':', {i}) AS DOUBLE)"
+    return f"CASE len(string_split({text}, ':')) WHEN 1 THEN {part(1)} WHEN 2 THEN {part(1)} * 60 + {part(2)} WHEN 3 THEN ({part(1)} * 60 + {part(2)}) * 60 + {part(3)} END"
+
+
+_VALUE = {
+    "string": "CASE WHEN kind IN ('string', 'number', 'boolean') THEN text END",
+    "long": "TRY_CAST(text AS BIGINT)",
+    "seconds": f"CASE WHEN kind IN ('number', 'string') THEN {_seconds('text')} END",
+    "packed": "CASE WHEN kind = 'array' THEN (SELECT string_agg(CASE WHEN contains(v, ';') OR contains(v, '\"') THEN '\"' || replace(v, '\"', '\"\"') || '\"' ELSE v END, ';') FROM (SELECT unnest(from_json(CASE WHEN kind = 'array' THEN text ELSE '[]' END, '[\"VARCHAR\"]')) AS v)) WHEN kind IN ('string', 'number') THEN text END",
+}
+_TYPED = ", ".join(f"max(CASE WHEN field = '{n}' AND place = 1 THEN {_VALUE[t]} END) AS \"{n}\"" for n, t in drift.TARGET.items())
+_FAILS = " OR ".join(f"(field = '{n}' AND ({_VALUE[t]}) IS NULL)" for n, t in drift.TARGET.items())
+
 SQL: dict[str, str] = {
+    "p1_ingested": f"""
+WITH lines AS (SELECT DISTINCT file_id, series, file_no, line_no, record FROM session_records),
+judged AS (SELECT *, coalesce(json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record END) = 'OBJECT', false) AS readable FROM lines),
+keys AS (
+  SELECT file_id, series, file_no, line_no, record, unnest(json_keys(record)) AS key, generate_subscripts(json_keys(record), 1) AS nth FROM judged WHERE readable),
+typed AS (SELECT *, {_FIELD} AS field, json_type(record, '$."' || key || '"') AS jt, json_extract_string(record, '$."' || key || '"') AS text FROM keys),
+kinds AS (
+  SELECT *, CASE WHEN jt IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN jt = 'VARCHAR' THEN 'string' WHEN jt = 'NULL' THEN NULL ELSE lower(jt) END AS kind,
+         row_number() OVER (PARTITION BY file_id, series, file_no, line_no, record, field ORDER BY nth) AS place FROM typed),
+reasons AS (
+  SELECT *, CASE WHEN field NOT IN ({", ".join(repr(n) for n in drift.TARGET)}) THEN 'unknown' WHEN place > 1 THEN 'repeated' WHEN kind IS NOT NULL AND ({_FAILS}) THEN 'uncastable' END AS reason FROM kinds),
+made AS (
+  SELECT file_id, series, file_no, line_no, record, {_TYPED},
+    string_agg(CASE WHEN reason IS NULL OR reason = 'uncastable' THEN field || ':' || key || ':' || coalesce(kind, '') END, '|' ORDER BY field || ':' || key || ':' || coalesce(kind, '')) AS written,
+    string_agg(reason || ':' || field || ':' || key || ':' || coalesce(kind, '') || ':' || CASE WHEN kind <> 'number' THEN text ELSE '' END, '|'
+      ORDER BY reason || ':' || field || ':' || key || ':' || coalesce(kind, '') || ':' || CASE WHEN kind <> 'number' THEN text ELSE '' END) FILTER (WHERE reason IS NOT NULL) AS rescued
+  FROM reasons GROUP BY ALL)
+SELECT j.file_id, j.series, j.file_no, j.line_no, {", ".join(f'm."{n}"' for n in drift.TARGET)},
+  coalesce(m.written, '') AS written, CASE WHEN j.readable THEN m.rescued ELSE 'unreadable::::' END AS rescued
+FROM judged j LEFT JOIN made m ON j.file_id = m.file_id AND j.line_no = m.line_no AND j.record = m.record AND j.series = m.series AND j.file_no = m.file_no
+""",
     "p1_found": f"""
 WITH lines AS (
   SELECT DISTINCT file_id, series, file_no, line_no, record FROM session_records
