@@ -81,26 +81,25 @@ def test_quantiles_are_exact(spark):
             assert found[k] == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
-def test_turn_kernel_against_loops():
-    r = np.random.default_rng(4)
-    n, w, pause = 200, 20, 3
-    amp, side, x, y = r.random(n), r.choice([-1.0, 1.0], n), r.random(n), r.random(n)
-    events, last = [], -pause - 1
-    for i in range(1, n - 1):
-        if amp[i] >= 0.6 and amp[i] >= amp[i - 1] and amp[i] >= amp[i + 1] and i - last >= pause:
-            events.append(i)
-            last = i
-    stats = kernels.turn_stats(x, y, amp, side, 2.0, w, 0.6, pause)
-    for i in range(n):
-        e = [k for k in events if i - w // 2 <= k <= i + w // 2]
-        assert stats[i, 0] == len(e)
-        if e:
-            assert stats[i, 3] == pytest.approx(amp[e].mean())
-        if len(e) > 1:
-            gap = np.hypot(np.diff(x[e]), np.diff(y[e]))
-            assert stats[i, 1] == pytest.approx(gap.mean() / (2 + 1e-6)) and stats[i, 2] == pytest.approx(gap.max() / (2 + 1e-6))
-            assert stats[i, 4] == pytest.approx(np.diff(e).std() / (np.diff(e).mean() + 1e-6), abs=1e-7)
-            assert stats[i, 5] == pytest.approx(np.mean(side[e][1:] * side[e][:-1] < 0))
+def test_turn_events_by_hand():
+    amp = np.array([9.0, 1, 5, 1, 5, 5, 1, 1, 7, 1, 2, 8])
+    # ends are no maxima; both rows of a plateau are; 4 is too near to 2, 5 is not
+    assert kernels.turn_events(amp, 4, 3).tolist() == [2, 5, 8]
+    assert kernels.turn_events(amp, 4, 1).tolist() == [2, 4, 5, 8]
+    assert kernels.turn_events(amp, 6, 1).tolist() == [8] and kernels.turn_events(amp, 10, 1).tolist() == []
+    assert kernels.turn_events(amp[:2], 0, 1).tolist() == [] and kernels.turn_events(np.array([]), 0, 1).tolist() == []
+
+
+def test_turn_statistics_by_hand():
+    amp, side = np.zeros(24), np.ones(24)
+    amp[[4, 8, 16]], side[8] = [2.0, 4.0, 6.0], -1.0
+    x = np.arange(24.0)
+    stats = kernels.turn_stats(x, 0 * x, amp, side, 2.0, 16, 1.0, 2)
+    count, gap, widest, mean, spread, turned = stats[8]  # rows 0 to 16 hold all three
+    assert (count, mean, turned) == (3, 4.0, 1.0)
+    assert gap == pytest.approx(6 / 2, rel=1e-5) and widest == pytest.approx(8 / 2, rel=1e-5) and spread == pytest.approx(2 / 6, rel=1e-5)
+    assert stats[0].tolist()[:4] == [2, pytest.approx(2, rel=1e-5), pytest.approx(2, rel=1e-5), 3.0] and stats[0][4] == 0.0
+    assert stats[23].tolist() == [1, 0, 0, 6.0, 0, 0]
 
 
 def test_other_kernels_against_loops():

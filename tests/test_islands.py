@@ -14,9 +14,14 @@ def test_event_ids_across_blocks(rows):
         if before is None or before[1] != v or t - before[0] > 0.5:
             event += 1
         expected[f], before = event, (t, v)
-    linked = islands.with_previous(rows(SCHEMA, data), ["v", "et"], block=7)
-    opens = linked["prev"].isNull() | ~linked["v"].eqNullSafe(linked["prev.v"]) | (linked["et"] - linked["prev.et"] > 0.5)
-    assert {x["frame"]: x["event_id"] for x in islands.numbered(linked, opens).collect()} == expected
+    data += [(None, None, *row[2:]) for row in data]  # null keys are a track too
+    for block in (7, 8192):
+        found = islands.event_ids(rows(SCHEMA, data), ["v"], block=block).collect()
+        assert len(found) == len(data) and all(expected[x["frame"]] == x["event_id"] for x in found)
+    before = {b: a for a, b in zip(frames, frames[1:])}
+    for x in islands.with_previous(rows(SCHEMA, data), ["frame"], block=7).collect():
+        assert (x["prev"]["frame"] if x["prev"] else None) == before.get(x["frame"])
+    data = data[: len(frames)]
     assert {x["frame"]: x["event_id"] for x in islands.event_ids(rows(SCHEMA, data), ["v"]).collect()} == expected
 
 

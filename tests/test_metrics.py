@@ -51,6 +51,35 @@ def test_event_confusion(rows):
     assert kinds(half, [1] * 10 + [0] * 250) == ["fn", "fp"]
 
 
+def test_false_events_are_stretches(rows, got):
+    """One predicted run over a true event gives a false event on each side, with ends of its own."""
+    truth, pred = [int(100 <= i < 120) for i in range(400)], [int(20 <= i < 200) for i in range(400)]
+    data = [("A", 1, i, i / 6, t, p, 0.0) for i, (t, p) in enumerate(zip(truth, pred, strict=True))]
+    frames = lambda r: (r["kind"], round(r["t0"] * 6), round(r["t1"] * 6))
+    events = metrics.event_confusion(rows(SCHEMA, data))
+    assert sorted(map(frames, events.collect())) == [("fp", 20, 69), ("fp", 150, 199), ("tp", 100, 119)]
+    r = random.Random(4)
+    values, t, data, expected = [], 0, [], []
+    while len(values) < 1500:
+        values += [(t, r.random() < 0.5)] * r.randint(1, 40 if t else 150)
+        t = 1 - t
+    for i, (t, p) in enumerate(values):
+        data.append(("B", 2, i, i / 6 + (i // 300), t, int(p), 0.0))
+    for a in range(0, len(data), 300):  # the time jumps here
+        part = data[a : a + 300]
+        near = [any(q[4] for q in part[max(k - 30, 0) : k + 31]) for k in range(len(part))]
+        same = lambda k, j, part=part: 0 <= j < len(part) and all(q[4] == 0 for q in part[min(j, k) : max(j, k) + 1])
+        loose = [q[5] == 1 and not near[k] and same(k, k - 9) and same(k, k + 9) for k, q in enumerate(part)]
+        for k, v in enumerate(loose):
+            if v and not (k and loose[k - 1]):
+                expected.append(a + k)
+    made = metrics.event_confusion(rows(SCHEMA, data)).where("kind = 'fp'").collect()
+    starts = sorted(next(q[2] for q in data if abs(q[3] - e["t0"]) < 1e-9) for e in made)
+    assert starts == expected and len(expected) > 3
+    listed = metrics.event_list(metrics.event_confusion(rows(SCHEMA, data)), rows("source string, ID long", [("B", 2), ("B", 2)]))
+    assert listed.count() == listed.where("is_unseen AND kind <> 'tp'").count() > 0
+
+
 def test_leak(rows):
     a, b = rows("source string, ID long", [("A", 1), ("B", 2)]), rows("source string, ID long", [("B", 2), ("C", 3)])
     with pytest.raises(ValueError):

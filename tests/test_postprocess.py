@@ -27,7 +27,7 @@ def test_bouts_and_predictions_match_loops(spark, data):
     expected = {}
     for t in range(5):
         probs = median_filter(np.array([p or 0.0 for _, k, _, _, p, _ in data if k == t]), 3)
-        for f, v in enumerate(closed_and_opened([int(p >= 0.6) for p in probs], 3, 4)):
+        for f, v in enumerate(closed_and_opened([int(p > 0.6) for p in probs], 3, 4)):
             expected[(t, f)] = v
     assert {(r["ID"], r["frame"]): r["prediction"] for r in config.predictions(df).collect()} == expected
     assert sum(r["n"] for r in config.bouts(df).collect()) == sum(expected.values())

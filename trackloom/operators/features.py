@@ -1,8 +1,8 @@
 """Registry of windowed features, computed in one logical plan.
 
 A feature is a builder of a Catalyst expression over base signals, or a column of a per-shard kernel where the rule is
-sequential. Rolling sums, means and deviations come from running sums (each window is a difference of two of them), so
-their cost doesn't grow with the window. Columns are named ``w{seconds}_{feature}``, base features by their bare name.
+sequential. Rolling sums and means come from running sums (each window is a difference of two of them), variances from
+running sums inside chunks of the window's length, so their cost doesn't grow with the window. Columns are named ``w{seconds}_{feature}``, base features by their bare name.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from trackloom.operators.signals import base_signals, hypot
 from trackloom.operators.tracks import TRACK, core, shard_window
 
 GM = "group_medians"
-PLACE = [*TRACK, "shard"]
+PLACE = ["_k", "shard"]
 
 
 class Rolling:
@@ -33,7 +33,7 @@ class Rolling:
 
     def __init__(self, fps: float = FPS):
         self.fps, self.w, self.whole = fps, shard_window(), Window.partitionBy(*PLACE)
-        self.centres: dict[str, Column] = {}
+        self.chunks: dict[int, dict[str, tuple]] = {}
         self.terms: dict[str, Column] = {}
         self.windows: dict[str, Column] = {}
 
@@ -49,10 +49,6 @@ class Rolling:
         upper = F.coalesce(F.lead(name, after).over(self.w), F.col(f"{name}_all")) if after else F.col(name)
         return self._window(f"{name}_{before}_{after}", upper - F.coalesce(F.lag(name, before + 1).over(self.w), F.lit(0)))
 
-    def _centred(self, c: str) -> Column:
-        self.centres.setdefault(f"_m_{c}", F.avg(c).over(self.whole))
-        return F.col(c) - F.col(f"_m_{c}")
-
     def count(self, c: str, n: int) -> Column:
         return self._between(self._running(f"_n_{c}", F.col(c).isNotNull().cast("int")), n // 2, (n - 1) // 2)
 
@@ -69,11 +65,65 @@ class Rolling:
         return F.try_divide(self._between(total, n - 1, 0), held)
 
     def var(self, c: str, n: int) -> Column:
-        """Sample variance; null for fewer than two values. Values are centred first, so that squares stay small."""
-        off = F.coalesce(self._centred(c), F.lit(0.0))
-        one, two, rows = self._running(f"_c_{c}", off), self._running(f"_q_{c}", off * off), self.count(c, n)
-        s, q = self._between(one, n // 2, (n - 1) // 2), self._between(two, n // 2, (n - 1) // 2)
-        return F.when(rows > 1, F.greatest(F.try_divide(q - F.try_divide(s * s, rows), rows - 1), F.lit(0.0)))
+        """Sample variance; null for fewer than two values."""
+        rows, squares = self._moments((c,), n // 2, (n - 1) // 2)
+        return F.when(rows > 1, F.try_divide(squares[c + c], rows - 1))
+
+    def _moments(self, cs: tuple[str, ...], before: int, after: int) -> tuple[Column, dict[str, Column]]:
+        """Rows with all of ``cs`` in the window, and the sums of squares and products about their means there.
+
+        Rows are cut into chunks as long as the window, which so lies in at most two. Inside a chunk sums run over
+        differences from the chunk's first value, so no large squares cancel; what the window has of either chunk is
+        turned into counts, means and squares, and the two are combined.
+        """
+        n = before + after + 1
+        name, pairs = f"_z_{'_'.join(cs)}_{before}_{after}", [(a, b) for i, a in enumerate(cs) for b in cs[i:]]
+        held = F.lit(True)
+        for c in cs:
+            held = held & F.col(c).isNotNull()
+        self.chunks.setdefault(n, {})[name] = (cs, pairs, held)
+        # the window's last row, or the track's, and the row before its first
+        end = self._window(f"{name}_end", F.coalesce(F.lead(name, after).over(self.w), F.col(f"{name}_tail")) if after else F.col(name))
+        out = self._window(f"{name}_out", F.lag(name, before + 1).over(self.w))
+        alike = F.coalesce(end["chunk"] == out["chunk"], F.lit(False))
+        beside = F.coalesce(end["chunk"] == out["chunk"] + 1, F.lit(False))
+        zero = F.lit(0.0)
+        part = lambda p, f, to, off: F.coalesce(to[f], zero) - F.when(p, F.coalesce(off[f], zero)).otherwise(0.0)
+        right = {f: part(alike, f, end, out) for f in ["rows", *cs, *[a + b for a, b in pairs]]}
+        left = {f: F.when(beside, F.coalesce(out[f"all_{f}"], zero) - F.coalesce(out[f], zero)).otherwise(0.0) for f in right}
+        rows = right["rows"] + left["rows"]
+        mean = lambda side, c: F.coalesce(F.try_divide(side[c], side["rows"]), zero)
+        gap = {c: mean(right, c) + F.coalesce(end[f"first_{c}"], zero) - mean(left, c) - F.coalesce(out[f"first_{c}"], zero) for c in cs}
+        weight = F.coalesce(F.try_divide(right["rows"] * left["rows"], rows), zero)
+        about = lambda side, a, b: side[a + b] - side[a] * mean(side, b)
+        squares = {a + b: about(right, a, b) + about(left, a, b) + weight * gap[a] * gap[b] for a, b in pairs}
+        squares |= {a + b: F.greatest(v, zero) for (a, b), v in zip(pairs, squares.values(), strict=True) if a == b}
+        return rows, squares
+
+    def _with_chunks(self, df: DataFrame) -> DataFrame:
+        """Per chunk length one struct for each set of columns, with the running sums of the chunk and its totals."""
+        out = df
+        for n, wanted in self.chunks.items():
+            chunk = F.floor(F.col("idx") / F.lit(n))
+            inside = Window.partitionBy(*PLACE, "_chunk").orderBy("idx")
+            upto, whole = inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*PLACE, "_chunk")
+            out = out.withColumn("_chunk", chunk)
+            firsts, terms, sums, structs = {}, {}, {}, {}
+            for name, (cs, pairs, held) in wanted.items():
+                both = lambda v, held=held: F.when(held, v).otherwise(0.0)
+                at = F.when(held, F.col("idx"))
+                for c in cs:
+                    firsts[f"{name}_first_{c}"] = F.min_by(c, at).over(whole)
+                off = {c: F.col(c).cast("double") - F.col(f"{name}_first_{c}") for c in cs}
+                parts = {"rows": F.when(held, 1.0).otherwise(0.0)} | {c: both(off[c]) for c in cs} | {a + b: both(off[a] * off[b]) for a, b in pairs}
+                terms |= {f"{name}_t_{f}": v for f, v in parts.items()}
+                sums |= {f"{name}_s_{f}": F.sum(f"{name}_t_{f}").over(upto) for f in parts} | {f"{name}_a_{f}": F.sum(f"{name}_t_{f}").over(whole) for f in parts}
+                fields = [F.col("_chunk").alias("chunk"), *[F.col(f"{name}_first_{c}").alias(f"first_{c}") for c in cs]]
+                fields += [F.col(f"{name}_s_{f}").alias(f) for f in parts] + [F.col(f"{name}_a_{f}").alias(f"all_{f}") for f in parts]
+                structs[name] = F.struct(*fields)
+            out = out.withColumns(firsts).withColumns(terms).withColumns(sums).withColumns(structs).drop(*firsts, *terms, *sums, "_chunk")
+        tails = {f"{name}_tail": F.max_by(name, "idx").over(self.whole) for wanted in self.chunks.values() for name in wanted}
+        return out.withColumns(tails) if tails else out
 
     def std(self, c: str, n: int) -> Column:
         return F.sqrt(self.var(c, n))
@@ -100,24 +150,20 @@ class Rolling:
 
     def scatter(self, n: int) -> tuple[Column, Column, Column, Column]:
         """Sums of squares and products about the window's mean over rows i - n//2 to i + n//2, and the rows there."""
-        x, y = self._centred("x"), self._centred("y")
-        both = F.col("x").isNotNull() & F.col("y").isNotNull()
-        names = {k: self._running(f"_p_{k}", F.when(both, v).otherwise(0.0)) for k, v in {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}.items()}
-        rows = self._between(self._running("_p_n", both.cast("int")), n // 2, n // 2)
-        at = {k: self._between(v, n // 2, n // 2) for k, v in names.items()}
-        about = lambda a, b: at[a + b] - F.try_divide(at[a] * at[b], rows)
-        return about("x", "x"), about("y", "y"), about("x", "y"), rows
+        rows, squares = self._moments(("x", "y"), n // 2, n // 2)
+        return squares["xx"], squares["yy"], squares["xy"], rows
 
     def apply(self, df: DataFrame, built: dict[str, Column]) -> DataFrame:
         """``df`` with the built columns, by way of what they asked for."""
         terms = {f"{name}_t": term for name, term in self.terms.items()}
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
         sums = {name: F.sum(f"{name}_t").over(upto) for name in self.terms} | {f"{name}_all": F.sum(f"{name}_t").over(self.whole) for name in self.terms}
-        out = df
-        for stage in (self.centres, terms, sums, self.windows, built):
+        out = self._with_chunks(df)
+        for stage in (terms, sums, self.windows, built):
             if stage:
                 out = out.withColumns(stage)
-        return out.drop(*self.centres, *terms, *sums, *self.windows)
+        held = [name for wanted in self.chunks.values() for name in wanted]
+        return out.drop(*held, *[f"{name}_tail" for name in held], *terms, *sums, *self.windows)
 
 
 @dataclass(frozen=True)
@@ -356,7 +402,7 @@ def compute_columns(df: DataFrame, columns: Iterable[str], fps: float = FPS, reg
         built = {column_name(f, w): registry.features[f].build(rolling, w, int(w * fps) if w else 0) for w, names in plans for f in names if depth[f] == level}
         if built:
             out = rolling.apply(out, built)
-    return core(out.select(*TRACK, "frame", "et", *keep, *parsed, "core", "shard", "idx"))
+    return core(out.select(*TRACK, "frame", "et", *keep, *parsed, "core", "shard", "idx", "_k"))
 
 
 def full_sweep(df: DataFrame, windows: Iterable[int], fps: float = FPS, registry: Registry = REGISTRY, **options) -> DataFrame:

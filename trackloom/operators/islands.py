@@ -11,48 +11,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.tracks import TRACK, same
+from trackloom.operators.tracks import TRACK, with_key
 from trackloom.plans.staging import stage
 
 
+def _carried(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``prev`` inside their block, and per block its first row (flat), ``prev`` from the block before and ``_last``."""
+    rows = with_key(df, keys, order, block)
+    row = F.struct(*columns)
+    local = rows.withColumn("prev", F.lag(row).over(Window.partitionBy("_k", "_block").orderBy(order)))
+    at = lambda pick: pick(F.struct(F.col(order).alias("_o"), row.alias("_r")))
+    ends = local.groupBy("_k", "_block").agg(at(F.min).alias("_first"), at(F.max).alias("_last"))
+    heads = ends.select("_k", "_block", "_first._r.*", F.lag("_last._r").over(Window.partitionBy("_k").orderBy("_block")).alias("prev"))
+    return local, heads
+
+
 def with_previous(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = TRACK, order: str = "frame", block: int = 8192) -> DataFrame:
-    """Adds ``prev``, a struct of ``columns`` of the row before in the track, and ``block``."""
-    keys, row = list(keys), F.struct(*columns)
-    blocked = df.withColumn("block", F.floor(F.col(order) / F.lit(block)))
-    inside = Window.partitionBy(*keys, "block").orderBy(order)
-    ends = blocked.groupBy(*keys, "block").agg(F.max(F.struct(F.col(order).alias("_o"), row.alias("_row"))).alias("_end"))
-    carry = ends.select(*keys, "block", F.lag("_end._row").over(Window.partitionBy(*keys).orderBy("block")).alias("_carry"))
-    local = blocked.withColumn("_local", F.lag(row).over(inside)).alias("a")
-    joined = local.join(carry.alias("b"), same("a", "b", [*keys, "block"]))
-    return joined.select(*[f"a.{c}" for c in df.columns], "a.block", F.coalesce("a._local", "b._carry").alias("prev"))
-
-
-def numbered(df: DataFrame, opens: Column, name: str = "event_id", keys: Sequence[str] = TRACK, order: str = "frame") -> DataFrame:
-    """Numbers from 1 in each track, one more at each row that ``opens``; needs the column ``block``."""
-    keys = list(keys)
-    flagged = df.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("long"))
-    inside = Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    counts = flagged.groupBy(*keys, "block").agg(F.sum("_opens").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*keys, "block", ahead.alias("_ahead"))
-    local = flagged.withColumn("_local", F.sum("_opens").over(inside)).alias("a")
-    joined = local.join(offsets.alias("b"), same("a", "b", [*keys, "block"]))
-    return joined.select(*[f"a.{c}" for c in df.columns if c not in ("block", "prev")], (F.col("a._local") + F.col("b._ahead")).alias(name))
+    """Adds ``prev``, a struct of ``columns`` of the row before in the track."""
+    local, heads = _carried(df, columns, keys, order, block)
+    joined = local.alias("a").join(heads.select("_k", "_block", F.col("prev").alias("_carry")).alias("b"), ["_k", "_block"])
+    return joined.select(*[f"a.{c}" for c in df.columns], F.coalesce("a.prev", "_carry").alias("prev"))
 
 
-def event_ids(df: DataFrame, alike: Sequence[str], gap_s: float | None = 0.5, keys: Sequence[str] = TRACK, time: str = "et", order: str = "frame", null_breaks: bool = False) -> DataFrame:
-    """Adds ``event_id``: a new event where a column of ``alike`` changes or the time step is longer than ``gap_s``.
+def numbered(df: DataFrame, columns: Sequence[str], opens: Column, name: str = "event_id", keys: Sequence[str] = TRACK, order: str = "frame", block: int = 8192) -> DataFrame:
+    """Numbers from 1 in each track, one more at each row that ``opens``; a null opens too.
 
-    Two nulls are alike unless ``null_breaks``.
+    ``opens`` is over ``columns`` of the row and ``prev``, those of the row before (null for a track's first). Rows are
+    shuffled once: a block's own count leaves out its first row, which is judged when the blocks' ends have met.
     """
-    linked = with_previous(df, [*alike, time], keys, order)
+    columns = list(dict.fromkeys(columns))
+    local, heads = _carried(df, columns, keys, order, block)
+    flag = F.coalesce(opens, F.lit(True)).cast("long")
+    counted = local.withColumn("_opens", F.when(F.row_number().over(Window.partitionBy("_k", "_block").orderBy(order)) == 1, 0).otherwise(flag))
+    inside = Window.partitionBy("_k", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counted.groupBy("_k", "_block").agg(F.sum("_opens").alias("_n"))
+    judged = heads.select("_k", "_block", flag.alias("_open")).join(counts, ["_k", "_block"])
+    before = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = judged.select("_k", "_block", (F.coalesce(F.sum(F.col("_n") + F.col("_open")).over(before), F.lit(0)) + F.col("_open")).alias("_ahead"))
+    joined = counted.withColumn("_local", F.sum("_opens").over(inside)).alias("a").join(offsets.alias("b"), ["_k", "_block"])
+    return joined.select(*[f"a.{c}" for c in df.columns], (F.col("a._local") + F.col("b._ahead")).alias(name))
+
+
+def _event_opens(alike: Sequence[str], gap_s: float | None, time: str, null_breaks: bool = False) -> Column:
     changed = F.col("prev").isNull()
     for c in alike:
         differs = ~F.col(c).eqNullSafe(F.col(f"prev.{c}"))
         changed = changed | (differs | F.col(c).isNull() if null_breaks else differs)
-    if gap_s is not None:
-        changed = changed | F.coalesce(F.col(time) - F.col(f"prev.{time}") > gap_s, F.lit(True))
-    return numbered(linked, changed, "event_id", keys, order)
+    return changed if gap_s is None else changed | F.coalesce(F.col(time) - F.col(f"prev.{time}") > gap_s, F.lit(True))
+
+
+def event_ids(df: DataFrame, alike: Sequence[str], gap_s: float | None = 0.5, keys: Sequence[str] = TRACK, time: str = "et", order: str = "frame", null_breaks: bool = False, block: int = 8192) -> DataFrame:
+    """Adds ``event_id``: a new event where a column of ``alike`` changes or the time step is longer than ``gap_s``.
+
+    Two nulls are alike unless ``null_breaks``.
+    """
+    return numbered(df, [*alike, time], _event_opens(alike, gap_s, time, null_breaks), "event_id", keys, order, block)
 
 
 def runs(df: DataFrame, value: str, gap_s: float | None = 0.5, keys: Sequence[str] = TRACK, time: str = "et", order: str = "frame") -> DataFrame:
@@ -78,10 +91,8 @@ def close_and_open(df: DataFrame, value: str, close: int, open_: int, gap_s: flo
     """
     keys = list(keys)
     flat = df.select(*keys, order, time, F.coalesce(F.col(value).cast("int"), F.lit(0)).alias(value))
-    segments = with_previous(flat, [time], keys, order)
-    cut = F.col("prev").isNull() if gap_s is None else F.coalesce(F.col(time) - F.col(f"prev.{time}") > gap_s, F.lit(True))
-    # written, since the next steps read it more than once
-    in_segments, _ = stage(numbered(segments, cut, "segment", keys, order), "segments")
+    # written, since the next step reads it more than once
+    in_segments, _ = stage(numbered(flat, [time], _event_opens([], gap_s, time), "segment", keys, order), "segments")
     first = event_ids(in_segments, [value, "segment"], None, keys, time, order).groupBy(*keys, "segment", "event_id").agg(
         F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.min(time).alias("t0"), F.max(time).alias("t1"), F.count("*").alias("n")
     )
@@ -98,20 +109,19 @@ def hysteresis(df: DataFrame, prob: str, on: float, off: float, out: str = "stat
     Where both hold (``on <= prob <= off``) the state turns over at every row. Needs rows of one segment per key. A
     block of rows is summed up by the turns in it and the last forced state; a scan over the blocks carries them on.
     """
-    keys = list(keys)
     high, low = F.coalesce(F.col(prob) >= on, F.lit(False)), F.coalesce(F.col(prob) <= off, F.lit(False))
     forced = F.when(high & ~low, 1).when(low & ~high, 0)
-    rows = df.withColumns({"block": F.floor(F.col(order) / F.lit(block)), "_turn": (high & low).cast("long"), "_set": forced})
-    inside = Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_key(df, keys, order, block).withColumns({"_turn": (high & low).cast("long"), "_set": forced})
+    inside = Window.partitionBy("_k", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_turns", F.sum("_turn").over(inside))
     local = local.withColumn("_last", F.last(F.when(F.col("_set").isNotNull(), F.struct("_set", "_turns")), True).over(inside))
     # a block's forced state with the turns after it, and its turns
-    ends = local.groupBy(*keys, "block").agg(F.max_by("_last", order).alias("_l"), F.sum("_turn").alias("_all"))
-    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = local.groupBy("_k", "_block").agg(F.max_by("_last", order).alias("_l"), F.sum("_turn").alias("_all"))
+    before = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_ahead", F.coalesce(F.sum("_all").over(before), F.lit(0)))
     placed = F.when(F.col("_l").isNotNull(), F.struct(F.col("_l._set").alias("_set"), (F.col("_l._turns") + F.col("_ahead")).alias("_turns")))
-    carry = ends.withColumn("_placed", placed).withColumn("_carry", F.last("_placed", True).over(before)).select(*keys, "block", "_ahead", "_carry")
-    joined = local.alias("a").join(carry.alias("b"), same("a", "b", [*keys, "block"]))
+    carry = ends.withColumn("_placed", placed).withColumn("_carry", F.last("_placed", True).over(before)).select("_k", "_block", "_ahead", "_carry")
+    joined = local.alias("a").join(carry.alias("b"), ["_k", "_block"])
     turns = F.col("a._turns") + F.col("b._ahead")
     own = F.col("a._last").isNotNull()
     state = F.when(own, F.col("a._last._set")).otherwise(F.coalesce("b._carry._set", F.lit(0)))
@@ -122,30 +132,29 @@ def hysteresis(df: DataFrame, prob: str, on: float, off: float, out: str = "stat
 def initiations(df: DataFrame, value: str, keys: Sequence[str] = TRACK, order: str = "frame") -> DataFrame:
     """Rows where a 0/1 column goes from 0 to 1; a track's first row never counts."""
     linked = with_previous(df, [value], keys, order)
-    return linked.where((F.col(value) == 1) & (F.col(f"prev.{value}") == 0)).drop("prev", "block")
+    return linked.where((F.col(value) == 1) & (F.col(f"prev.{value}") == 0)).drop("prev")
 
 
 def filled(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = TRACK, order: str = "frame", block: int = 8192) -> DataFrame:
     """Nulls filled from the last value before in the track, then the first one after, then 0."""
-    keys = list(keys)
-    blocked = df.withColumn("block", F.floor(F.col(order) / F.lit(block)))
-    ends = blocked.groupBy(*keys, "block").agg(
+    blocked = with_key(df, keys, order, block)
+    ends = blocked.groupBy("_k", "_block").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_l_{c}") for c in columns], *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_f_{c}") for c in columns]
     )
-    over = Window.partitionBy(*keys)
-    back, on = over.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), over.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*keys, "block", *[F.last(f"_l_{c}", True).over(back).alias(f"_b_{c}") for c in columns], *[F.last(f"_f_{c}", True).over(on).alias(f"_a_{c}") for c in columns])
-    inside = Window.partitionBy(*keys, "block")
+    over = Window.partitionBy("_k")
+    back, on = over.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1), over.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_k", "_block", *[F.last(f"_l_{c}", True).over(back).alias(f"_b_{c}") for c in columns], *[F.last(f"_f_{c}", True).over(on).alias(f"_a_{c}") for c in columns])
+    inside = Window.partitionBy("_k", "_block")
     before, after = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, 0), inside.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked
     for c in columns:
         local = local.withColumns({f"_p_{c}": F.last(c, True).over(before), f"_q_{c}": F.last(c, True).over(after)})
-    joined = local.alias("a").join(carry.alias("b"), same("a", "b", [*keys, "block"]))
+    joined = local.alias("a").join(carry.alias("b"), ["_k", "_block"])
     value = lambda c: F.coalesce(f"a._p_{c}", f"b._b_{c}", f"a._q_{c}", f"b._a_{c}", F.lit(0.0)).alias(c)
     return joined.select(*[value(c) if c in columns else F.col(f"a.{c}") for c in df.columns])
 
 
 def iterations(df: DataFrame, number: str, keys: Sequence[str] = ("source",), order: str = "ID") -> DataFrame:
     """Adds ``iteration``: one more each time ``number`` falls from one row to the next."""
-    linked = with_previous(df, [number], keys, order)
-    return numbered(linked, F.coalesce(F.col(number) < F.col(f"prev.{number}"), F.lit(False)) | F.col("prev").isNull(), "iteration", keys, order)
+    falls = F.coalesce(F.col(number) < F.col(f"prev.{number}"), F.lit(False)) | F.col("prev").isNull()
+    return numbered(df, [number], falls, "iteration", keys, order)

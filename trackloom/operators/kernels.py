@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackloom.operators.tracks import TRACK
+from trackloom.operators.tracks import TRACK, group_quantiles, with_key
+from trackloom.plans.staging import stage
 
 TURN_STATS = ("turn_event_count", "turn_event_gap_mean_bl", "turn_event_gap_max_bl", "turn_event_amp_mean", "turn_event_interval_cv", "turn_event_alternation")
 AMPLITUDE_QUANTILE = 0.75
@@ -24,14 +25,17 @@ TURN_PAUSE_S = 0.5
 
 def turn_events(amp: np.ndarray, threshold: float, pause: int) -> np.ndarray:
     """Rows of local maxima at or above the threshold, each at least ``pause`` rows after the one before."""
-    inner = np.arange(1, max(len(amp) - 1, 1))
-    peaks = inner[(amp[inner] >= threshold) & (amp[inner] >= amp[inner - 1]) & (amp[inner] >= amp[np.minimum(inner + 1, len(amp) - 1)])] if len(amp) > 2 else np.array([], dtype=int)
-    picked, last = [], -pause - 1
-    for i in peaks:
-        if i - last >= pause:
-            picked.append(i)
-            last = i
-    return np.array(picked, dtype=int)
+    if len(amp) < 3:
+        return np.empty(0, dtype=int)
+    middle, left, right = amp[1:-1], amp[:-2], amp[2:]
+    peaks = 1 + np.flatnonzero((middle >= threshold) & (middle >= left) & (middle >= right))
+    # from each peak the next one that is far enough away
+    allowed = np.searchsorted(peaks, peaks + pause)
+    picked, at = [], 0
+    while at < len(peaks):
+        picked.append(at)
+        at = int(allowed[at])
+    return peaks[picked].astype(int)
 
 
 def turn_stats(x: np.ndarray, y: np.ndarray, amp: np.ndarray, side: np.ndarray, length: float, n: int, threshold: float, pause: int) -> np.ndarray:
@@ -117,8 +121,8 @@ def dominant_frequency(signal: np.ndarray, n: int, fps: float) -> np.ndarray:
         part = windows[at : at + 4096]
         best[at : at + 4096] = np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * taper, axis=1)).argmax(axis=1)
     found = np.fft.rfftfreq(n, 1 / fps)[best]
-    pad = rows - len(found)
-    return np.pad(found, (pad // 2, (pad + 1) // 2), mode="edge")
+    # a row takes the spectrum centred on it, at the ends the nearest one there is
+    return found[np.clip(np.arange(rows) - (rows - len(found)) // 2, 0, len(found) - 1)]
 
 
 def median_filter(values: np.ndarray, n: int) -> np.ndarray:
@@ -134,9 +138,10 @@ def with_kernels(df: DataFrame, wanted: Iterable[tuple[str, int]], fps: float) -
     """Kernel columns ``_k{w}_...`` of a table of base signals in row shards."""
     wanted = sorted(wanted)
     amp = F.greatest(F.col("omega_heading"), F.radians("omega_relative"))
-    rows = df.withColumn("_amp", amp)
+    rows = df.drop("_k").withColumn("_amp", amp)
     if any(k == "turns" for k, _ in wanted):
-        limit = rows.where("core").groupBy("source").agg(F.percentile_approx("_amp", AMPLITUDE_QUANTILE, 10_000).alias("_limit"))
+        held, _ = stage(rows.where("core").select("source", F.col("_amp").alias("_limit")), "amplitudes")
+        limit = group_quantiles(held, ["source"], ["_limit"], AMPLITUDE_QUANTILE)
         rows = rows.alias("r").join(limit.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").select("r.*", "l._limit")
     names = {"turns": list(TURN_STATS), "frequency": ["frequency"], "efficiency": ["efficiency"], "revisit": ["revisit"], "revisit_rows": ["revisit_mean"]}
     added = [f"_k{w}_{c}" for k, w in wanted for c in names[k]]
@@ -161,4 +166,4 @@ def with_kernels(df: DataFrame, wanted: Iterable[tuple[str, int]], fps: float) -
                 columns[f"_k{w}_revisit"] = revisit(x, y, w)
         return pd.concat([shard, pd.DataFrame(columns, index=shard.index)], axis=1)
 
-    return rows.groupBy(*TRACK, "shard").applyInPandas(run, schema).drop("_amp", "_limit")
+    return with_key(rows.groupBy(*TRACK, "shard").applyInPandas(run, schema).drop("_amp", "_limit"), TRACK)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.islands import event_ids
-from trackloom.operators.tracks import TRACK, core, row_shards, same
+from trackloom.operators.tracks import TRACK, core, row_shards, same, with_key
 from trackloom.plans.staging import stage
 
 
@@ -111,26 +111,35 @@ def _runs_of_both(rows: DataFrame, gap_s: float, time: str, order: str) -> DataF
 def event_confusion(df: DataFrame, truth: str = "truth", prediction: str = "prediction", least: float = 0.5, strict: bool = True, grace: int = 30, edge: int = 9, gap_s: float = 0.5, time: str = "et", order: str = "frame") -> DataFrame:
     """Events of each track: ``kind`` ``tp``, ``fn`` or ``fp`` with ``source, ID, t0, t1, share``.
 
-    A true event is found if more than ``least`` of its rows (at least, unless ``strict``) are predicted. A predicted
-    event is false if it has rows outside all true events widened by ``grace`` rows and outside the first and last
-    ``edge`` rows of each negative run. Runs don't cross time steps longer than ``gap_s``; rows without truth count
-    as no event.
+    A true event is found if more than ``least`` of its rows (at least, unless ``strict``) are predicted. Rows are safe
+    in true events widened by ``grace`` rows and in the first and last ``edge`` rows of each negative run; every stretch
+    of predicted rows that aren't safe is a false event with its own ends (``share`` 1), so one predicted run can give
+    several. Runs, stretches and widening don't cross time steps longer than ``gap_s``; rows without truth count as no
+    event.
     """
     rows = df.select(*TRACK, order, time, F.col(truth).alias("truth"), F.coalesce(F.col(prediction).cast("int"), F.lit(0)).alias("pred"))
-    both = _runs_of_both(rows, gap_s, time, order)
+    cut, _ = stage(event_ids(rows, [], gap_s, TRACK, time, order).withColumnRenamed("event_id", "segment"), "segments")
+    both, _ = stage(event_ids(cut, ["truth", "segment"], None, TRACK, time, order).withColumnRenamed("event_id", "t_run"), "truth-runs")
     true_events = both.where("truth = 1").groupBy(*TRACK, "t_run").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.avg(F.col("pred").cast("double")).alias("share"))
     found = (F.col("share") > least) if strict else (F.col("share") >= least)
     hits = true_events.select(*TRACK, "t0", "t1", "share", F.when(found, "tp").otherwise("fn").alias("kind"))
     # rows near a true event or near the ends of a negative run are safe; looked at in shards with a margin of that size
-    shards = row_shards(both, TRACK, order, margin=grace)
-    near = Window.partitionBy(*TRACK, "shard", "segment").orderBy("idx").rowsBetween(-grace, grace)
-    seen, _ = stage(core(shards.withColumn("near_true", F.max((F.coalesce("truth", F.lit(0)) == 1).cast("int")).over(near) == 1).withColumn("at", F.col("idx"))), "judged-rows")
-    ends = seen.groupBy(*TRACK, "t_run").agg(F.min("at").alias("from_"), F.max("at").alias("to_"))
-    placed = seen.alias("s").join(ends.alias("e"), same("s", "e", [*TRACK, "t_run"])).select("s.*", "e.from_", "e.to_")
-    at_edge = (F.col("truth") == 0) & ((F.col("at") - F.col("from_") < edge) | (F.col("to_") - F.col("at") < edge))
-    judged = placed.withColumn("safe", F.col("near_true") | F.coalesce(at_edge, F.lit(False)))
-    false_events = judged.where("pred = 1").groupBy(*TRACK, "p_run").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.avg((~F.col("safe")).cast("double")).alias("share"))
-    return hits.unionByName(false_events.where("share > 0").select(*TRACK, "t0", "t1", "share", F.lit("fp").alias("kind")))
+    shards = row_shards(both, TRACK, order, margin=max(grace, edge))
+    near = Window.partitionBy("_k", "shard", "segment").orderBy("idx")
+    beside = lambda k: F.coalesce(F.lag("t_run", k).over(near) != F.col("t_run"), F.lit(True)) if k > 0 else F.coalesce(F.lead("t_run", -k).over(near) != F.col("t_run"), F.lit(True))
+    at_edge = (F.col("truth") == 0) & (beside(edge) | beside(-edge)) if edge > 0 else F.lit(False)
+    near_true = F.max((F.coalesce("truth", F.lit(0)) == 1).cast("int")).over(near.rowsBetween(-grace, grace)) == 1
+    judged = core(shards.withColumn("loose", ((F.col("pred") == 1) & ~near_true & ~F.coalesce(at_edge, F.lit(False))).cast("int")))
+    seen, _ = stage(judged.select(*TRACK, "segment", order, time, "loose"), "judged-rows")
+    stretches = event_ids(seen, ["loose", "segment"], None, TRACK, time, order).where("loose = 1").groupBy(*TRACK, "event_id").agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
+    return hits.unionByName(stretches.select(*TRACK, "t0", "t1", F.lit(1.0).alias("share"), F.lit("fp").alias("kind")))
+
+
+def event_list(events: DataFrame, unseen: DataFrame, kinds: Sequence[str] = ("fp", "fn")) -> DataFrame:
+    """The false events with ``is_unseen``, whether their track is one of ``unseen`` (such as the validation tracks)."""
+    known = with_key(unseen.select(*TRACK), TRACK).select("_k", F.lit(True).alias("is_unseen")).distinct()
+    listed = with_key(events.where(F.col("kind").isin(*kinds)), TRACK).join(known, "_k", "left")
+    return listed.select(*events.columns, F.coalesce("is_unseen", F.lit(False)).alias("is_unseen"))
 
 
 def contributing_events(df: DataFrame, truth: str = "truth", prediction: str = "prediction", least: float = 0.3, gap_s: float = 0.5, time: str = "et", order: str = "frame") -> DataFrame:

@@ -36,7 +36,7 @@ def filtered(df: DataFrame, value: str, n: int, order: str = "frame") -> DataFra
 class PostProcess:
     """Seconds of the median filter, probabilities that switch on and off, seconds of closing and opening.
 
-    With ``off`` None, frames at or above ``on`` are on. Sizes of 0 do nothing.
+    With ``off`` None, frames above ``on`` are on. Sizes of 0 do nothing.
     """
 
     median_s: float = 1.0
@@ -54,7 +54,7 @@ class PostProcess:
         """``source, ID, frame, et, state`` before closing and opening; needs ``prob``."""
         rows = filtered(df.select(*TRACK, "frame", "et", F.coalesce("prob", F.lit(0.0)).alias("prob")), "prob", int(self.median_s * self.fps))
         if self.off is None:
-            return rows.select(*TRACK, "frame", "et", (F.col("prob") >= self.on).cast("int").alias("state"))
+            return rows.select(*TRACK, "frame", "et", (F.col("prob") > self.on).cast("int").alias("state"))
         cut, _ = stage(islands.event_ids(rows, []).withColumnRenamed("event_id", "segment"), "segments")
         return islands.hysteresis(cut, "prob", self.on, self.off, keys=[*TRACK, "segment"]).select(*TRACK, "frame", "et", "state")
 

@@ -10,29 +10,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.frames import FPS
-from trackloom.operators.tracks import TRACK, frame_table, group_quantiles, row_shards, same, shard_window
+from trackloom.operators.tracks import COORDS, SPINE, TRACK, clean_rows, group_quantiles, numbered_rows, shard_window, spread_shards, with_key
+from trackloom.plans.staging import stage
 
 PAUSE_SPEED = 0.15
 TURN_SPEED = 0.35
-OMEGAS = ["omega_body", "omega_head", "omega_heading", "omega_relative"]
+BLOCK = 8192
 
 
-def _x(i: int) -> Column:
-    return F.col(f"xspine_{i}")
+def hypot(a: Column, b: Column) -> Column:
+    return F.sqrt(a * a + b * b)
 
 
-def _y(i: int) -> Column:
-    return F.col(f"yspine_{i}")
+def _sql_hypot(a: str, b: str) -> str:
+    return f"sqrt(({a}) * ({a}) + ({b}) * ({b}))"
 
 
-def hypot(a: Column, b: Column) -> Column:
-    return F.sqrt(a * a + b * b)
+def _between(i: int, j: int) -> tuple[str, str]:
+    """The vector from body point ``j`` to body point ``i``, as SQL."""
+    return f"(xspine_{i} - xspine_{j})", f"(yspine_{i} - yspine_{j})"
 
 
-def vector_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Degrees between two vectors, 90 for a vector without length."""
-    cosine = (ax * bx + ay * by) / (hypot(ax, ay) * hypot(bx, by) + 1e-6)
-    return F.degrees(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))))
+def vector_angle(a: tuple[str, str], b: tuple[str, str]) -> str:
+    """Degrees between two vectors as SQL, 90 for a vector without length."""
+    cosine = f"(({a[0]} * {b[0]} + {a[1]} * {b[1]}) / ({_sql_hypot(*a)} * {_sql_hypot(*b)} + 1e-6D))"
+    return f"degrees(acos(greatest(least({cosine}, 1.0D), -1.0D)))"
 
 
 def wrapped(angle: Column) -> Column:
@@ -42,20 +44,19 @@ def wrapped(angle: Column) -> Column:
 
 def geometry(df: DataFrame) -> DataFrame:
     """Signals of the single row."""
-    chord = hypot(_x(10) - _x(0), _y(10) - _y(0))
-    length = sum((hypot(_x(i + 1) - _x(i), _y(i + 1) - _y(i)) for i in range(1, 10)), hypot(_x(1) - _x(0), _y(1) - _y(0)))
-    return df.withColumns(
-        {
-            "body_len": length,
-            "chord": chord,
-            "bending": vector_angle(_x(0) - _x(5), _y(0) - _y(5), _x(10) - _x(5), _y(10) - _y(5)),
-            "head_bend": vector_angle(_x(2) - _x(0), _y(2) - _y(0), _x(10) - _x(5), _y(10) - _y(5)),
-            "angle_body": F.coalesce(F.atan2(_y(0) - _y(10), _x(0) - _x(10)), F.lit(0.0)),
-            "angle_head": F.coalesce(F.atan2(_y(0) - _y(5), _x(0) - _x(5)), F.lit(0.0)),
-            "asymmetry": F.abs((_x(10) - _x(0)) * (_y(0) - _y(5)) - (_x(0) - _x(5)) * (_y(10) - _y(0))) / (chord + 1e-6),
-            "bend_side": F.signum((_x(0) - _x(5)) * (_y(10) - _y(5)) - (_y(0) - _y(5)) * (_x(10) - _x(5))),
-        }
-    )
+    body, front, back, neck = _between(10, 0), _between(0, 5), _between(10, 5), _between(2, 0)
+    chord = _sql_hypot(*body)
+    columns = {
+        "body_len": " + ".join(_sql_hypot(*_between(i + 1, i)) for i in range(10)),
+        "chord": chord,
+        "bending": vector_angle(front, back),
+        "head_bend": vector_angle(neck, back),
+        "angle_body": f"coalesce(atan2({_between(0, 10)[1]}, {_between(0, 10)[0]}), 0.0D)",
+        "angle_head": f"coalesce(atan2({front[1]}, {front[0]}), 0.0D)",
+        "asymmetry": f"abs({body[0]} * {front[1]} - {front[0]} * {body[1]}) / ({chord} + 1e-6D)",
+        "bend_side": f"signum({front[0]} * {back[1]} - {front[1]} * {back[0]})",
+    }
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def motion(df: DataFrame, fps: float = FPS, pause_speed: float = PAUSE_SPEED) -> DataFrame:
@@ -105,24 +106,52 @@ def motion(df: DataFrame, fps: float = FPS, pause_speed: float = PAUSE_SPEED) ->
         return F.abs(F.when(F.col("_first") & F.col("_last"), 0.0).when(F.col("_first"), ahead).when(F.col("_last"), F.col(u)).otherwise(inside)) * fps
 
     four = three.withColumns({"omega_body": turning("u_body"), "omega_head": turning("u_head"), "omega_heading": turning("u_heading"), "omega_relative": F.abs("bending_vel")})
-    upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*TRACK, "shard").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = {c: F.coalesce(c, F.last(c, True).over(upto), F.last(c, True).over(onward), F.lit(0.0)) for c in ["omega_relative"]}
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # before the first value the first value counts
+    first = F.min_by("omega_relative", F.when(F.col("omega_relative").isNotNull(), F.col("idx"))).over(Window.partitionBy("_k", "shard"))
+    filled = {"omega_relative": F.coalesce("omega_relative", F.last("omega_relative", True).over(upto), first, F.lit(0.0))}
     five = four.withColumns(filled)
     return five.withColumn("is_turning", (F.col("omega_heading") > TURN_SPEED).cast("int")).drop("_first", "_last")
 
 
+def numbered_frames(df: DataFrame, fps: float = FPS, length_metric: str = "body_len") -> DataFrame:
+    """The frame table with ``idx``, the row's number in its track, its ``_length`` and ``_bend`` (change of bending).
+
+    Rows are shuffled once, by track and block of frames, which serves repeated rows, the numbering and the differences;
+    only the blocks' counts and last rows meet over a whole track. Written once: everything else reads this table.
+    """
+    spread = with_key(clean_rows(df, fps=fps), TRACK, "frame", BLOCK).repartition("_k", "_block")
+    first = F.row_number().over(Window.partitionBy("_k", "_block", "frame").orderBy("off", "et", *COORDS))
+    frames = spread.withColumn("_n", first).where("_n = 1").drop("_n", "off")
+    inside = Window.partitionBy("_k", "_block").orderBy("frame")
+    ends = frames.groupBy("_k", "_block").agg(F.count("*").alias("_n"), F.max_by(F.struct(*SPINE), "frame").alias("_end"))
+    before = F.lag("_last").over(Window.partitionBy("_k").orderBy("_block"))
+    counts = geometry(ends.select("_k", "_block", "_n", "_end.*")).select("_k", "_block", "_n", F.col("bending").alias("_last")).withColumn("_before", before).drop("_last")
+    posed = geometry(frames)
+    local = posed.withColumns({"_rn": F.row_number().over(inside), "_prior": F.lag("bending").over(inside)})
+    numbered = numbered_rows(local, counts)
+    prior = F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_prior"))
+    bend = F.abs((F.col("bending") - prior) * fps)
+    made = numbered.select(*TRACK, "frame", "et", *COORDS, "idx", F.col(length_metric).alias("_length"), bend.alias("_bend"))
+    return stage(made, "frames")[0]
+
+
 def base_signals(df: DataFrame, fps: float = FPS, pause_speed: float = PAUSE_SPEED, length_metric: str = "body_len", rows: int = 20_000, margin: int = 1_000) -> DataFrame:
-    """Frame table, row shards, geometry, motion and the tracks' medians, margins included.
+    """Numbered frames in row shards with geometry, motion and the tracks' medians, margins included.
 
     ``length_metric`` is ``body_len`` (sum of the segments) or ``chord`` (head to tail). A value more than ``margin``
     rows away is not carried into holes of the turning speeds.
     """
-    frames = geometry(frame_table(df, fps=fps))
-    moving = motion(row_shards(frames, rows=rows, margin=margin), fps, pause_speed)
-    medians = group_quantiles(moving.where("core").select(*TRACK, F.col(length_metric).alias("group_medians"), F.col("bending_diff").alias("bend_median")), TRACK, ["group_medians", "bend_median"])
-    joined = moving.alias("m").join(medians.alias("g"), same("m", "g", TRACK), "left").select("m.*", "g.group_medians", "g.bend_median")
+    frames = numbered_frames(df, fps, length_metric)
+    medians = group_quantiles(frames.select(*TRACK, F.col("_length").alias("group_medians"), F.col("_bend").alias("bend_median")), TRACK, ["group_medians", "bend_median"])
+    # a track's medians go to each of its shards, so that they meet the rows where these are already
+    shards = with_key(frames.groupBy(*TRACK).agg(F.max("idx").alias("_most")), TRACK)
+    spread = shards.join(with_key(medians, TRACK).drop(*TRACK), "_k", "left").select("_k", "group_medians", "bend_median", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_most") / F.lit(rows)))).alias("shard"))
+    per_shard, _ = stage(spread, "medians")
+    placed = spread_shards(with_key(frames.drop("_length", "_bend"), TRACK), rows, margin).join(per_shard, ["_k", "shard"])
+    moving = motion(geometry(placed), fps, pause_speed)
     norm = {f"{v}_norm": F.col(v) / (F.col("group_medians") + 1e-6) for v in ("v_head", "v_mid", "v_tail", "v_com")}
-    return joined.withColumns(
+    return moving.withColumns(
         norm
         | {
             "curvature_index": F.col("body_len") / (F.col("chord") + 1e-6),

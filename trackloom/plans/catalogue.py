@@ -536,11 +536,29 @@ def best_threshold(spark, d):
     return rounded(metrics.best_threshold(_judged(spark, d)))
 
 
-@query()
+_BOTH = f"""{JUDGED}, sg0 AS (SELECT source, ID, frame, et, truth, coalesce(prediction, 0) AS pred, CASE WHEN et - lag(et) OVER w <= 0.5 THEN 0 ELSE 1 END AS o FROM ju WINDOW w AS (PARTITION BY source, ID ORDER BY frame)),
+sg AS (SELECT *, sum(o) OVER (PARTITION BY source, ID ORDER BY frame ROWS UNBOUNDED PRECEDING) AS segment FROM sg0), {_runs_sql('sg', 'truth', 'tr')},
+tn AS (SELECT source, ID, frame, et, truth, pred, segment, rid AS t_run, rn AS t_n, row_number() OVER (PARTITION BY source, ID, segment, rid ORDER BY frame) AS t_at FROM tr)"""
+_EVENTS = f"""{_BOTH}, ev AS (SELECT source, ID, min(et) AS t0, max(et) AS t1, avg(pred) AS share FROM tn WHERE truth = 1 GROUP BY source, ID, segment, t_run),
+lo AS (SELECT source, ID, frame, et, segment, CASE WHEN pred = 1 AND max(CASE WHEN truth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source, ID, segment ORDER BY frame ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) = 0
+  AND NOT coalesce(truth = 0 AND (t_at <= 9 OR t_n - t_at < 9), false) THEN 1 ELSE 0 END AS loose FROM tn), {_runs_sql('lo', 'loose', 'lr')},
+ec AS (SELECT source, ID, t0, t1, share, CASE WHEN share > 0.5 THEN 'tp' ELSE 'fn' END AS kind FROM ev
+  UNION ALL SELECT source, ID, min(et), max(et), 1.0::DOUBLE, 'fp' FROM lr WHERE loose = 1 GROUP BY source, ID, segment, rid)"""
+_SCORES = "sum(kind = 'tp')::BIGINT AS tp, sum(kind = 'fp')::BIGINT AS fp, sum(kind = 'fn')::BIGINT AS fn"
+
+
+@query(f"WITH {_EVENTS} SELECT source, ID AS id, round(t0, 6) AS t0, round(t1, 6) AS t1, round(share, 6) AS share, kind FROM ec")
 def event_confusion(spark, d):
     return rounded(metrics.event_confusion(_judged(spark, d)).withColumnRenamed("ID", "id"))
 
 
+@query(f"WITH {_EVENTS} SELECT source, ID AS id, round(t0, 6) AS t0, round(t1, 6) AS t1, kind, EXISTS (SELECT 1 FROM split_registry r WHERE r.source = ec.source AND r.ID = ec.ID AND r.split = 'validation') AS is_unseen FROM ec WHERE kind <> 'tp'")
+def event_list(spark, d):
+    """False events, those of validation tracks marked."""
+    unseen = table(spark, d, "split_registry").where("split = 'validation'")
+    return rounded(metrics.event_list(metrics.event_confusion(_judged(spark, d)), unseen).drop("share").withColumnRenamed("ID", "id"))
+
+
 # --- samples and splits
 
 
@@ -600,17 +618,36 @@ def retention(spark, d):
     return rounded(bouts.retention(raw, ratio_sample(spark, d), ["behavior"]))
 
 
-@query()
+@query(
+    f"""WITH {_BOTH}, {_runs_sql('tn', 'pred', 'pr_')},
+ev AS (SELECT source, ID, segment, t_run, min(et) AS t0, max(et) AS t1, avg(pred) AS share FROM pr_ WHERE truth = 1 GROUP BY source, ID, segment, t_run),
+fo AS (SELECT DISTINCT p.source, p.ID, p.segment, p.rid FROM pr_ p JOIN ev e ON e.source = p.source AND e.ID = p.ID AND e.segment = p.segment AND e.t_run = p.t_run WHERE p.truth = 1 AND p.pred = 1 AND e.share >= 0.3),
+pp_ AS (SELECT source, ID, segment, rid, min(et) AS t0, max(et) AS t1 FROM pr_ WHERE pred = 1 GROUP BY ALL)
+SELECT source, ID AS id, round(t0, 6) AS t0, round(t1, 6) AS t1, round(share, 6) AS share, CASE WHEN share >= 0.3 THEN 'tp' ELSE 'fn' END AS kind FROM ev
+UNION ALL SELECT source, ID, round(t0, 6), round(t1, 6), 1.0::DOUBLE, 'fp' FROM pp_ ANTI JOIN fo USING (source, ID, segment, rid)"""
+)
 def contributing_events(spark, d):
     return rounded(metrics.contributing_events(_judged(spark, d)).withColumnRenamed("ID", "id"))
 
 
-@query()
+@query(
+    f"""WITH {_EVENTS}, s AS (SELECT source, {_SCORES} FROM ec GROUP BY source)
+SELECT source, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM s"""
+)
 def event_scores(spark, d):
     return rounded(metrics.event_scores(metrics.event_confusion(_judged(spark, d)), ["source"]))
 
 
-@query()
+@query(
+    f"""WITH {PRED}, ix AS (SELECT source, ID, frame, et, coalesce(prob, 0) AS prob, row_number() OVER (PARTITION BY source, ID ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY source, ID) AS n FROM pf),
+pl AS (SELECT source, ID, frame, et, ((i + k) % (2 * n) + 2 * n) % (2 * n) AS m, n FROM ix, (SELECT unnest(range(-4, 5)) AS k)),
+md AS (SELECT pl.source, pl.ID, pl.frame, pl.et, median(q.prob) AS prob FROM pl JOIN ix q ON q.source = pl.source AND q.ID = pl.ID AND q.i = CASE WHEN m >= pl.n THEN 2 * pl.n - 1 - m ELSE m END GROUP BY ALL),
+o AS (SELECT *, CASE WHEN et - lag(et) OVER (PARTITION BY source, ID ORDER BY frame) <= 0.5 THEN 0 ELSE 1 END AS o FROM md),
+s0 AS (SELECT *, sum(o) OVER (PARTITION BY source, ID ORDER BY frame ROWS UNBOUNDED PRECEDING) AS segment FROM o),
+s AS (SELECT source, ID, frame, et, segment, coalesce(last_value(CASE WHEN prob >= 0.6 THEN 1 WHEN prob <= 0.4 THEN 0 END IGNORE NULLS) OVER (PARTITION BY source, ID, segment ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS v FROM s0), {_runs_sql('s', 'v', 'a')},
+c AS (SELECT source, ID, segment, frame, et, CASE WHEN v = 0 AND NOT is_first AND NOT is_last AND rn < 6 THEN 1 ELSE v END AS v FROM a), {_runs_sql('c', 'v', 'b')}
+SELECT source, ID AS id, min(frame) AS first, max(frame) AS last, round(min(et), 6) AS t0, round(max(et), 6) AS t1, count(*) AS n FROM b WHERE v = 1 AND rn >= 9 GROUP BY source, ID, segment, rid"""
+)
 def postprocess_bouts(spark, d):
     return rounded(postprocess.PostProcess(1.5, 0.6, 0.4, 1.0, 1.5).bouts(pred_frames(spark, d)).withColumnRenamed("ID", "id"))
 

@@ -64,7 +64,7 @@ def _mean(c: str) -> str:
     return f"avg({c}) OVER r"
 
 
-#: expressions over the signals; std and pca to fewer digits, as squares of large numbers cancel
+#: expressions over the signals
 EXPRESSIONS = {
     "larva_body_length": "gm", "vel_mean": _mean("v_com"), "vel_norm_mean": _mean("v_mid_norm"), "head_vel_mean": _mean("v_head"), "omega_body_mean": _mean("omega_body"),
     "omega_relative_mean": _mean("omega_relative"), "omega_heading_mean": _mean("omega_heading"), "hc_ratio_mean": _mean("hc_ratio"), "ht_ratio_mean": _mean("ht_ratio"), "reversal_rate": _mean("high_bend_activity"),
@@ -82,7 +82,7 @@ GROUPS = {
     "features_turning": (["omega_body_mean", "omega_relative_mean", "omega_heading_mean", "omega_heading_max", "turn_fraction", "reversal_rate", "bend_peaks_rate"], 6),
     "features_shape": (["hc_ratio_mean", "ht_ratio_mean", "curvature_index_mean", "head_bend_max", "posture_asymmetry_max"], 5),
     "features_path": (["msd", "msd_norm", "net_displacement_norm"], 8),
-    "features_spread": (["vel_std", "head_vel_std", "bending_std", "omega_head_std", "rog", "tortuosity"], 3),
+    "features_spread": (["vel_std", "head_vel_std", "bending_std", "omega_head_std", "rog", "tortuosity"], 6),
 }
 TREND = ["vel_lag", "vel_lead", "omega_body_mean_slope_smooth", "tort_slope_smooth"]
 

@@ -82,6 +82,18 @@ SELECT tb.source, tb.ID AS id, round(coalesce(l, 0), 5) AS labelled_s, coalesce(
     "label_gaps": f"""WITH {_PERIODS}, j AS (SELECT tb.source, tb.ID, begin_, end_, t0, t1, lag(t1) OVER (PARTITION BY tb.source, tb.ID ORDER BY t0) AS p FROM tb LEFT JOIN pe USING (source, ID)),
 g AS (SELECT source, ID, coalesce(p, begin_) AS a, coalesce(t0, end_) AS b FROM j UNION ALL SELECT source, ID, max(t1), max(end_) FROM j GROUP BY source, ID HAVING max(t1) IS NOT NULL)
 SELECT source, ID AS id, round(a, 5) AS gap_start, round(b, 5) AS gap_end FROM g WHERE b - a > 1.1::DOUBLE / 6""",
+    "snapped_intervals": f"""WITH {PRED}, {ANN}, tb AS (SELECT source, ID, min(et) AS begin_, max(et) AS end_ FROM pf GROUP BY ALL),
+nw AS (SELECT annotation_id, min(source) AS source, min(ID) AS ID, min(t0) AS t0, min(t1) AS t1 FROM an GROUP BY annotation_id),
+cl AS (SELECT annotation_id, source, ID, begin_, end_, greatest(least(t0, end_), begin_) AS t0, greatest(least(t1, end_), begin_) AS t1 FROM nw JOIN tb USING (source, ID)),
+pt AS (SELECT source, ID, et, max(frame) AS frame FROM pf GROUP BY ALL),
+b0 AS (SELECT cl.*, p.et AS e, p.frame AS f FROM cl ASOF JOIN pt p ON cl.source = p.source AND cl.ID = p.ID AND cl.t0 >= p.et),
+a0 AS (SELECT b0.*, p.et AS e2, p.frame AS f2 FROM b0 ASOF JOIN pt p ON b0.source = p.source AND b0.ID = p.ID AND b0.t0 <= p.et),
+s0 AS (SELECT annotation_id, source, ID, begin_, end_, t1, CASE WHEN t0 - e <= e2 - t0 THEN e ELSE e2 END AS t0, CASE WHEN t0 - e <= e2 - t0 THEN f ELSE f2 END AS t0_frame FROM a0),
+b1 AS (SELECT s0.*, p.et AS e, p.frame AS f FROM s0 ASOF JOIN pt p ON s0.source = p.source AND s0.ID = p.ID AND s0.t1 >= p.et),
+a1 AS (SELECT b1.*, p.et AS e2, p.frame AS f2 FROM b1 ASOF JOIN pt p ON b1.source = p.source AND b1.ID = p.ID AND b1.t1 <= p.et),
+s1 AS (SELECT annotation_id, source, ID, begin_, end_, t0, t0_frame, CASE WHEN t1 - e <= e2 - t1 THEN e ELSE e2 END AS t1, CASE WHEN t1 - e <= e2 - t1 THEN f ELSE f2 END AS t1_frame FROM a1),
+fin AS (SELECT annotation_id, source, ID, t0, t0_frame, CASE WHEN t1 <= t0 THEN t0 + 1 / 6.0::DOUBLE ELSE t1 END AS t1, greatest(t1_frame, t0_frame + 1) AS t1_frame FROM s1)
+SELECT annotation_id, source, ID AS id, round(t0, 6) AS t0, round(t1, 6) AS t1, t0_frame, t1_frame, (SELECT count(*) FROM an e WHERE e.source = fin.source AND e.ID = fin.ID AND e.t0 < fin.t1 AND fin.t0 < e.t1) AS overlaps FROM fin""",
     "tag_memory": f"""WITH {ANN}, t AS (SELECT behavior, unnest(list_filter(list_transform(string_split(coalesce(tags, ''), ';'), lambda v: lower({strip_sql('v')})), lambda v: v <> '')) AS tag FROM an),
 c AS (SELECT behavior, tag, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY behavior ORDER BY n DESC, tag) AS place FROM c) SELECT behavior, tag, n, place FROM r WHERE place <= 10""",
 }
