@@ -50,3 +50,16 @@ def test_recordings_stopped_and_resumed_are_no_spikes(rows):
 def test_missing_values_and_empty(rows):
     assert run(rows, {("A", 1): [[f, None, None, None, None] for f in range(30)], (None, None): [[1, 1.0, 1.0, 1.0, 1.0]]}) == {}
     assert implausible_frames(rows(SCHEMA, [])).count() == 0
+
+
+def test_a_narrow_source_is_held_to_its_own_places(rows):
+    """A wide source beside it changes nothing, and a narrow hour of a wide source doesn't narrow it much."""
+    scaled = lambda t, k: [[f, *[40 + (v - 40) * k for v in p]] for f, *p in t]
+    narrow = {("N", i): scaled(walk(i), 0.1) for i in range(4)}
+    for f in range(300, 330):
+        narrow[("N", 2)][f][1:] = [v + 30 for v in narrow[("N", 2)][f][1:]]
+    expected = {("N", 2, f): {"impossible"} for f in range(300, 330)}
+    wide = {("W", i): scaled(walk(i), 3) for i in range(4)}
+    assert run(rows, narrow) == run(rows, narrow | wide) == expected
+    late = {("W", 9): [[f + 30_000, *p] for f, *p in scaled(walk(5), 0.1)] + [[f + 33_000, *p] for f, *p in scaled(walk(6), 3)]}
+    assert run(rows, wide | late) == {}
