@@ -46,6 +46,15 @@ def test_a_sign_inside_values_scores_low(rows):
     assert scores[";"] > 0.6 > scores.get("/", 0)
 
 
+def test_types_of_pieces_count(rows):
+    """Values that stand nowhere else: those of the usual type are regular by half, those of another type aren't."""
+    plain = [("A", t) for t in ("slow", "fast", "edge", "lamp on")] * 10
+    usual = [("A", f"{'abcdefgh'[i]}x;{'abcdefgh'[i]}y") for i in range(8)]
+    odd = [("A", f"{i}{i}/{i}-{i}") for i in range(8)]
+    scores = {r["sign"]: r["regularity"] for r in separator_scores(rows("src string, packed string", plain + usual + odd), prior=0.001).collect()}
+    assert abs(scores[";"] - 0.5) < 0.01 and scores["/"] < 0.01
+
+
 def test_null_keys_sources_and_empty(rows, got):
     data = [(None, None, "slow;fast", "", ""), ("a", None, None, "", "")]
     assert got(unpack(rows(SCHEMA, data))) == [(None, 1, "slow"), (None, 2, "fast")]

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.text import canonical_tags, tag_tokens
-from trackloom.operators.periods import merged_periods
+from trackloom.operators.periods import gaps_between, merged_periods
 from trackloom.operators.ranges import _buckets, nearest, overlaps
-from trackloom.operators.tracks import TRACK, same
+from trackloom.operators.tracks import TRACK, same, with_key
 
 
 def bounds(frames: DataFrame, time: str = "et") -> DataFrame:
@@ -52,13 +52,14 @@ def coverage(labels: DataFrame, frames: DataFrame, slack_s: float = 1.1 / 6) ->
 
 def gaps(labels: DataFrame, frames: DataFrame, slack_s: float = 1.1 / 6) -> DataFrame:
     """Unlabelled stretches of each track, also before its first and after its last period."""
-    periods = merged_periods(labels, slack_s)
-    w = Window.partitionBy(*TRACK).orderBy("t0")
-    ends = bounds(frames)
-    joined = ends.join(periods, TRACK, "left").withColumn("before", F.coalesce(F.lag("t1").over(w), F.col("begin")))
-    inner = joined.select(*TRACK, F.col("before").alias("gap_start"), F.coalesce("t0", "end").alias("gap_end"))
-    tail = joined.groupBy(*TRACK).agg(F.max("t1").alias("gap_start"), F.max("end").alias("gap_end")).where("gap_start IS NOT NULL")
-    return inner.unionByName(tail).where(F.col("gap_end") - F.col("gap_start") > slack_s)
+    inner = gaps_between(labels, slack_s)
+    whole = with_key(labels.where((F.col("t1") > F.col("t0")) & F.col("ID").isNotNull()), TRACK).groupBy("_k").agg(F.min("t0").alias("first"), F.max("t1").alias("last"))
+    ends = with_key(bounds(frames), TRACK).join(whole, "_k", "left")
+    pair = lambda a, b: F.struct(F.col(a).alias("gap_start"), F.coalesce(*b).alias("gap_end"))
+    outer = ends.select(*TRACK, F.explode(F.array(pair("begin", [F.col("first"), F.col("end")]), F.when(F.col("last").isNotNull(), pair("last", [F.col("end")])))).alias("g")).select(*TRACK, "g.*")
+    # inner gaps of tracks with frames
+    known = with_key(inner, TRACK).join(ends.select("_k"), "_k", "left_semi").select(*TRACK, F.col("t0").alias("gap_start"), F.col("t1").alias("gap_end"))
+    return known.unionByName(outer).where(F.col("gap_end") - F.col("gap_start") > slack_s)
 
 
 def fill_gaps(labels: DataFrame, frames: DataFrame, behavior: str, slack_s: float = 1.1 / 6) -> DataFrame:

@@ -1,8 +1,8 @@
 """Several values packed in one field.
 
 The separators in use are inferred per source. Every candidate is scored on the pieces next to its occurrences outside
-quotes: how regular they are (seen as whole fields or between other separators too, so that a sign inside values scores
-low) and how consistent the piece counts are. Fields are then split by their source's separators and exploded with
+quotes: how regular they are (pieces and types of pieces that stand as whole fields or between other separators too, so
+that a sign inside values scores low) and how consistent the piece counts are. Fields are then split by their source's separators and exploded with
 their position.
 
 Defined results: null, empty and blank fields and empty pieces give no row; positions count non-empty values from 1;
@@ -51,10 +51,17 @@ def _unquoted(piece: Column) -> Column:
     )
 
 
-def separator_scores(fields: DataFrame, candidates: tuple[str, ...] = CANDIDATES, prior: float = 5.0) -> DataFrame:
+def piece_type(piece: Column) -> Column:
+    """The form of a piece: ``a`` for letters, ``9`` for digits, a blank for blanks, other signs as they are; repeats once."""
+    letters = F.regexp_replace(F.regexp_replace(piece, r"[\p{L}\p{M}]+", "a"), r"\p{N}+", "9")
+    return F.regexp_replace(F.regexp_replace(letters, r"(?U)\s+", " "), r"a( a)+", "a a")
+
+
+def separator_scores(fields: DataFrame, candidates: tuple[str, ...] = CANDIDATES, prior: float = 5.0, least_type: float = 0.01) -> DataFrame:
     """``src, sign, uses, regularity, consistency, score`` of each candidate in each source.
 
-    ``fields`` has ``src`` and ``packed``. ``prior`` pseudo-uses with the sign's score over all sources are added to
+    ``fields`` has ``src`` and ``packed``. A use is regular, by half each, if its piece stands elsewhere too and if its
+    type (:func:`piece_type`) makes up ``least_type`` of the pieces away from the sign. ``prior`` pseudo-uses with the sign's score over all sources are added to
     each source, and as many regular ones to each sign, so that little evidence decides little.
     """
     every = _class("".join(candidates))
@@ -81,18 +88,27 @@ def separator_scores(fields: DataFrame, candidates: tuple[str, ...] = CANDIDATES
     edge = lambda c: F.when(c.isNull(), F.lit("")).when(is_sign(c), c)
     # what stands on both sides of a piece: a sign, or nothing at an end of the field
     contexts = around.where(~is_sign(F.col("t.token"))).select(piece.alias("piece"), edge(F.col("t.left")).alias("l"), edge(F.col("t.right")).alias("r"))
-    known = contexts.where("l IS NOT NULL AND r IS NOT NULL AND piece <> ''").groupBy("piece").agg(F.collect_set(F.struct("l", "r")).alias("beside"))
+    counted = contexts.where("l IS NOT NULL AND r IS NOT NULL AND piece <> ''").groupBy("piece", "l", "r").agg(F.count("*").alias("n"))
+    known = counted.groupBy("piece").agg(F.collect_set(F.struct("l", "r")).alias("beside"))
+    # how common each type of piece is away from a sign
+    away = counted.select(piece_type(F.col("piece")).alias("type"), "l", "r", "n", F.explode(F.array(*[F.lit(c) for c in candidates])).alias("sign"))
+    away = away.where("l <> sign AND r <> sign").groupBy("sign", "type").agg(F.sum("n").alias("n"))
+    types = away.join(away.groupBy("sign").agg(F.sum("n").alias("whole")), "sign").select("sign", "type", (F.col("n") / F.col("whole") >= least_type).alias("typical"))
     uses = around.where(is_sign(F.col("t.token"))).select(
         "src", F.col("t.token").alias("sign"), "pieces", F.explode(F.array("t.left", "t.right")).alias("piece")
     )
     uses = uses.where(F.col("piece").isNotNull() & ~is_sign(F.col("piece"))).withColumn("piece", F.lower(_unquoted(F.col("piece")))).where("piece <> ''")
+    # alike uses are counted first, so that the commonest piece is a few rows
+    uses = uses.groupBy("src", "sign", "piece", "pieces").agg(F.count("*").alias("n")).withColumn("type", piece_type(F.col("piece")))
     seen = F.coalesce(F.exists("beside", lambda b: (b["l"] != F.col("sign")) & (b["r"] != F.col("sign"))), F.lit(False))
-    counted = uses.join(known, "piece", "left").groupBy("src", "sign").agg(
-        F.count("*").alias("uses"), F.sum(seen.cast("int")).alias("regular"), F.avg("pieces").alias("mean"), F.coalesce(F.var_pop("pieces"), F.lit(0.0)).alias("spread")
+    regular = (seen.cast("double") + F.coalesce("typical", F.lit(False)).cast("double")) / 2
+    judged = uses.join(known, "piece", "left").join(types, ["sign", "type"], "left").withColumn("_regular", F.col("n") * regular)
+    counted = judged.groupBy("src", "sign").agg(
+        F.sum("n").alias("uses"), F.sum("_regular").alias("regular"), (F.sum(F.col("n") * F.col("pieces")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.col("pieces") * F.col("pieces")) / F.sum("n")).alias("squares")
     )
     overall = counted.groupBy("sign").agg(((F.sum("regular") + prior) / (F.sum("uses") + prior)).alias("overall"))
     regularity = (F.col("regular") + prior * F.col("overall")) / (F.col("uses") + prior)
-    consistency = 1 / (1 + F.col("spread") / F.col("mean"))
+    consistency = 1 / (1 + F.greatest(F.col("squares") - F.col("mean") * F.col("mean"), F.lit(0.0)) / F.col("mean"))
     scored = counted.join(overall, "sign").select("src", "sign", "uses", regularity.alias("regularity"), consistency.alias("consistency"))
     return scored.withColumn("score", F.col("regularity") * (0.5 + 0.5 * F.col("consistency")))
 
