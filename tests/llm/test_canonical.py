@@ -1,5 +1,6 @@
 import pytest
 
+from trackloom.functions.text import BEHAVIORS
 from trackloom.llm.canonical import distance, map_values
 
 LABELS = ["dwelling", "nondwelling", "crawling", "turning", "other", "dwelling_old", "head casting", "stopping", "sideways drift", "digging"]
@@ -10,7 +11,7 @@ def run(rows, typed):
     reference = rows("code int, label string, short_form string", [(i, a, b) for i, (a, b) in enumerate(zip(LABELS, SHORT, strict=True))])
     data = rows("annotation_id string, Behavior string, label string", [(str(i), t, "x") for i, t in enumerate(typed)] * 2)
     out = {}
-    for r in map_values(data, reference).collect():
+    for r in map_values(data, reference, synonyms=BEHAVIORS).collect():
         assert int(r["annotation_id"]) not in out
         out[int(r["annotation_id"])] = r["label"]
     return out

@@ -30,6 +30,27 @@ def test_streams_as_the_library_encodes(reference):
         assert list(machine.encode(text)) == reference.encode_ordinary(text)
 
 
+def test_long_pieces_take_constant_memory(reference, monkeypatch):
+    """No more than a window and the lookahead of an open piece is held, whatever its length."""
+    held, merge = [0], bpe.merge
+
+    def watched(piece, *rest):
+        held[0] = max(held[0], len(piece))
+        return merge(piece, *rest)
+
+    machine = bpe.Transducer(bpe.read_ranks(PATH), chunk=4096)
+    monkeypatch.setattr(bpe, "merge", watched)
+    r = random.Random(6)
+    block = "".join(r.choice("etaoinshr") for _ in range(50_000))
+    long = {f"I {block * 20}'s": 1_000_000, " " * 300_000 + "x": 300_000, "\n" * 70_000 + " x": 70_000, "a" + " \n" * 40_000: 80_000, "-" * 100_000: 100_000, "é7" + "7" * 90_000 + "b": 90_000}
+    for text in long:
+        assert list(machine.encode(text)) == reference.encode_ordinary(text)
+        assert machine.count(text) == len(reference.encode_ordinary(text))
+    huge = block * 200  # 10 MB in one piece
+    assert abs(machine.count(huge) - 200 * machine.count(block)) < 2_000
+    assert held[0] <= 2 * machine.window
+
+
 def test_a_piece_in_parts(reference):
     machine = bpe.Transducer(bpe.read_ranks(PATH), window=1)
     r = random.Random(2)

@@ -35,6 +35,21 @@ def test_shares_are_met_and_caps_kept(rows):
     assert sorted(map(tuple, mix(sized, targets).collect())) == sorted(map(tuple, mix(sized.repartition(5), targets).collect()))
 
 
+def test_a_size_that_caps_cannot_carry(rows):
+    """A larger size than all shares allow is an error, or is filled up by the sources that can."""
+    sized = rows(SIZES, [(i, s, 10, "x") for i, s in enumerate(["a"] * 400 + ["b"] * 200 + ["c"] * 10)])
+    targets = rows(TARGETS, [("a", 0.4, 1, ""), ("b", 0.4, 2, ""), ("c", 0.2, 3, "")])
+    with pytest.raises(ValueError, match="1500 can"):
+        mix(sized, targets, 5000)
+    made = mix(sized, targets, 5000, short="fill")
+    used = {r["source"]: r for r in shares(sized, made, targets, 5000).collect()}
+    assert used["c"]["tokens_used"] == 300 and used["c"]["most_copies"] == 3
+    assert abs(used["a"]["tokens_used"] - 2350) <= 10 and abs(used["b"]["tokens_used"] - 2350) <= 10
+    assert used["a"]["size_asked"] == 5000 and abs(used["a"]["size_reached"] - 5000) <= 20
+    every = mix(sized, targets, 10**9, short="fill")
+    assert {r["source"]: (r["tokens_used"], r["most_copies"]) for r in shares(sized, every, targets).collect()} == {"a": (4000, 1), "b": (4000, 2), "c": (300, 3)}
+
+
 def test_empty_source_and_tables(rows):
     sized = rows(SIZES, [(1, "a", 10, ""), (2, "a", 10, "")])
     targets = rows(TARGETS, [("a", 0.5, 2, ""), ("b", 0.5, 2, "")])

@@ -23,6 +23,8 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 
 #: fixed value: the public pattern of this family of tokenizers
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: the pieces of it that have no bound
+RUN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: code points after a piece that settle it: a contraction is at most three long
 SETTLE = 3
 
@@ -106,7 +108,7 @@ class Transducer(dict):
         self.ranks, self.remember, self.chunk = ranks, remember, chunk
         self.lookahead = sufficient_lookahead(ranks)
         self.window = max(window, 2 * self.lookahead)
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.run = regex.compile(PATTERN), regex.compile(RUN)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
@@ -135,8 +137,8 @@ class Transducer(dict):
         for token in merge(held, self.ranks):
             yield self.ranks[token]
 
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """The pieces of a text, a chunk at a time."""
+    def pieces(self, text: str) -> Iterator[list[str] | tuple[int, int]]:
+        """The pieces of a text, a chunk at a time; of a piece longer than a chunk only where it begins and ends."""
         find, at, size = self.pattern.findall, 0, self.chunk
         while len(text) - at > size:
             found = find(text, at, at + size)
@@ -144,21 +146,38 @@ class Transducer(dict):
             while last and settled > size - SETTLE:
                 last -= 1
                 settled -= len(found[last])
-            if not last:  # one piece fills the chunk
-                size *= 2
-                continue
-            yield found[:last]
-            at, size = at + settled, self.chunk
+            if last:
+                yield found[:last]
+                at += settled
+            else:  # one piece fills the chunk
+                end = self.run.match(text, at).end()
+                if end < len(text) and text[end - 1].isspace():
+                    end -= 1  # the last blank goes with what follows
+                yield at, end
+                at = end
         yield find(text, at)
 
+    def ids(self, text: str) -> Iterator[Iterable[int]]:
+        """Ids of a text in portions; a long piece goes through :meth:`stream` window by window."""
+        for found in self.pieces(text):
+            if isinstance(found, tuple):
+                yield self.stream(text[i : min(i + self.window, found[1])].encode() for i in range(found[0], found[1], self.window))
+            else:
+                yield chain.from_iterable(map(self.__getitem__, found))
+
     def encode(self, text: str | None) -> Iterator[int]:
-        """Ids without special tokens; none for null and empty texts."""
-        for found in self.pieces(text or ""):
-            yield from chain.from_iterable(map(self.__getitem__, found))
+        """Ids without special tokens; none for null and empty texts. Holds a chunk and a window beside the text."""
+        return chain.from_iterable(self.ids(text or ""))
 
     def count(self, text: str | None) -> int:
         """How many ids the text has."""
-        return sum(sum(map(len, map(self.__getitem__, found))) for found in self.pieces(text or ""))
+        total = 0
+        for found in self.pieces(text or ""):
+            if isinstance(found, tuple):
+                total += sum(1 for _ in self.stream(text[i : min(i + self.window, found[1])].encode() for i in range(found[0], found[1], self.window)))
+            else:
+                total += sum(map(len, map(self.__getitem__, found)))
+        return total
 
 
 @lru_cache(maxsize=4)

@@ -25,11 +25,9 @@ from pyspark.sql import types as T
 from trackloom.operators.frames import need
 from trackloom.plans.staging import stage
 
-#: fixed values: synonyms in use and the label each stands for
-SYNONYMS = {"run": "crawling", "dwell": "dwelling", "crawl": "crawling", "turn": "turning"}
 #: fixed values: rows of keys on common keyboards
 KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-MOST_EDITS = 2
+MOST_EDITS, LEAST_REST = 2, 3
 
 
 def beside(a: str, b: str) -> bool:
@@ -76,10 +74,11 @@ def _less(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
 
 
-def deletions(word: Column) -> Column:
-    """The word and what is left of it after one or two deletions."""
-    once = F.when(F.length(word) > 0, F.array_distinct(_less(word))).otherwise(F.array().cast("array<string>"))
-    twice = F.flatten(F.transform(F.filter(once, lambda w: F.length(w) > 0), _less))
+def deletions(word: Column, most: Column) -> Column:
+    """The word and what is left of it after up to ``most`` deletions (none, one or two)."""
+    none = F.array().cast("array<string>")
+    once = F.when((F.length(word) > 0) & (most > 0), F.array_distinct(_less(word))).otherwise(none)
+    twice = F.when(most > 1, F.flatten(F.transform(F.filter(once, lambda w: F.length(w) > 0), _less))).otherwise(none)
     return F.array_distinct(F.concat(F.array(word), once, twice))
 
 
@@ -120,29 +119,37 @@ def vocabulary(reference: DataFrame, synonyms: dict[str, str]) -> DataFrame:
     out = exact.unionByName(forms).unionByName(wholes).unionByName(short)
     if synonyms:
         pairs = F.explode(F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair]))
-        meant = entries.select("label", "text", pairs.alias("word", "stands_for")).where("stands_for = text")
+        meant = entries.select("label", "text", pairs.alias("written", "stands_for")).where("stands_for = text").withColumn("word", F.replace(normal(F.col("written")), F.lit(" "), F.lit("")))
         out = out.unionByName(meant.select("word", "label", joined_token.alias("token"), F.lit(0).alias("edits"), F.lit("whole").alias("kind")))
     return out.where("word <> ''").distinct()
 
 
 def repair(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """Tokens met with vocabulary words within the allowed edits: ``piece, kind, label, token, likeness``."""
-    meant = words.select("word", "kind", F.explode(deletions(F.col("word"))).alias("rest")).distinct()
+    # no word of up to three letters may be edited, so no rest that decides is shorter: there are no short, common rests
+    spelled = words.groupBy("word", "kind").agg(F.max("edits").alias("most"))
+    meant = spelled.select("word", "kind", "most", F.explode(deletions(F.col("word"), F.col("most"))).alias("rest"))
     longest = F.lit(words.agg(F.max(F.length("word"))).first()[0] or 0)
     # a longer token is further from every word than any edits allowed; it has no deletions, wherever they are evaluated
     short = F.when(F.length("piece") <= longest + MOST_EDITS, F.col("piece"))
-    typed = tokens.select("piece", "kind", F.explode(deletions(short)).alias("rest"))
-    met = typed.join(meant, ["rest", "kind"]).select("piece", "word", "kind").distinct()
-    measured = met.withColumn("edits_made", _distance("piece", "word"))
+    rests = F.filter(deletions(short, F.lit(MOST_EDITS)), lambda r: (F.length(r) >= LEAST_REST) | (r == F.col("piece")))
+    typed = tokens.select("piece", "kind", F.explode(rests).alias("rest"))
+    met = typed.join(meant, ["rest", "kind"]).select("piece", "word", "kind", "most").distinct()
+    # a swap is two plain edits: pairs beyond that are told apart before Python measures the rest
+    plain = F.levenshtein("piece", "word", 2 * MOST_EDITS)
+    measured = met.where((plain >= 0) & (plain <= 2 * F.col("most"))).withColumn("edits_made", _distance("piece", "word"))
     near = measured.join(words, ["word", "kind"]).where(F.col("edits_made") <= F.col("edits"))
     likeness = 1 - F.col("edits_made") / F.greatest(F.length("piece"), F.length("word"), F.lit(1))
     return near.groupBy("piece", "kind", "label", "token").agg(F.max(likeness).alias("likeness"))
 
 
-def canonical(values: DataFrame, reference: DataFrame, synonyms: dict[str, str] = SYNONYMS, least: float = 0.6) -> DataFrame:
-    """``typed, label`` of distinct values in the column ``typed``; ``unmatched`` where no entry reaches ``least``."""
+def canonical(values: DataFrame, reference: DataFrame, synonyms: dict[str, str] | None = None, least: float = 0.6) -> DataFrame:
+    """``typed, label`` of distinct values in the column ``typed``; ``unmatched`` where no entry reaches ``least``.
+
+    ``synonyms`` are words in use and the label each stands for.
+    """
     # written tables keep the plans of the steps that use them again and again small
-    words, _ = stage(vocabulary(reference, synonyms), "words")
+    words, _ = stage(vocabulary(reference, synonyms or {}), "words")
     # a short key stands for the value, which may be long
     cut = values.select("typed").distinct().select("typed", F.md5("typed").alias("id"), normal(F.col("typed")).alias("text"))
     as_words = cut.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("piece"), F.lit("word").alias("kind"))

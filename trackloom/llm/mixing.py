@@ -1,7 +1,7 @@
 """Mixing sources to target weights, by pivotal dependent rounding.
 
-The mix is the largest one (or one of a given size) in which every source can have its target share without any record
-being used more often than its source allows. Each record of a source then has the same expected number of copies; its
+The mix is the largest one in which every source can have its target share without any record being used more often than
+its source allows, or one of a given size (see :func:`plan`). Each record of a source then has the same expected number of copies; its
 whole part is given, and its fraction is rounded dependently: two fractions are paired and mass, measured in tokens,
 goes randomly from one to the other until one of them is 0 or 1. The sum of the tokens stays what it was, so a source
 misses its target by less than one record. Pairs are formed inside shards of bounded size; the one fraction left over
@@ -76,26 +76,48 @@ def sized_documents(documents: DataFrame, **tokenizer) -> DataFrame:
     return stage(count_tokens(documents, ["doc_id", "source"], **tokenizer), "sizes")[0]
 
 
-def mix(sized: DataFrame, targets: DataFrame, size_tokens: int | None = None, seed: int = 7, shard_rows: int = 5000, fan_in: int = 16) -> DataFrame:
-    """The records of the mix: ``doc_id, source, n_tokens, copies`` (at least one copy)."""
+def plan(sized: DataFrame, targets: DataFrame, size_tokens: int | None = None, short: str = "raise") -> list[dict]:
+    """How often each source is used: ``source, share, cap, tokens, rows, rate``, one entry per target with tokens.
+
+    Without ``size_tokens`` the mix is the largest one that meets every share. A larger size than that raises an error,
+    unless ``short`` is ``"fill"``: then sources too small for their part are used up to their caps, and the others
+    share what is missing in proportion to their targets, as far as their own caps go.
+    """
     need(targets, ["source", "target_share", "max_repeats"])
-    held = sized.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    per_source = held.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).join(wanted, "source")
-    level, most = per_source.agg(F.min(F.col("tokens") * F.col("cap") / F.col("share")), F.max("rows")).first()
-    total = per_source.agg(F.sum("share")).first()[0]
-    if size_tokens is not None and level is not None:
-        level = min(level, size_tokens / total)
-    copies = F.least(F.col("share") * F.lit(float(level or 0)) / F.col("tokens"), F.col("cap").cast("double"))
-    # a number of copies that is whole but for the last bits of a double is whole
-    rate = F.when(F.abs(copies - F.rint(copies)) < 1e-9, F.rint(copies)).otherwise(copies)
-    rates = per_source.select("source", rate.alias("rate"), F.ceil(F.col("rows") / F.lit(shard_rows)).alias("parts"))
-    rows = held.join(rates, "source").select(
+    held = sized.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
+    # one row per target: as few as somebody wrote down
+    found = [r.asDict() for r in held.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).join(wanted, "source").collect()]
+    if not found:
+        return []
+    most = {s["source"]: float(s["tokens"] * s["cap"]) for s in found}
+    exact = min(most[s["source"]] / s["share"] for s in found)
+    level = exact if size_tokens is None else size_tokens / sum(s["share"] for s in found)
+    if size_tokens is not None and level > exact * (1 + 1e-12):
+        if short != "fill":
+            raise ValueError(f"a mix of {size_tokens} tokens can't meet every share; {int(exact * sum(s['share'] for s in found))} can")
+        left, open_ = float(size_tokens), sorted(found, key=lambda s: most[s["source"]] / s["share"])
+        while open_ and most[open_[0]["source"]] / open_[0]["share"] <= left / sum(s["share"] for s in open_):
+            left -= most[open_.pop(0)["source"]]
+        level = left / sum(s["share"] for s in open_) if open_ else float("inf")
+    for s in found:
+        rate = min(s["share"] * level / s["tokens"], float(s["cap"]))
+        # a number of copies that is whole but for the last bits of a double is whole
+        s["rate"] = float(round(rate)) if abs(rate - round(rate)) < 1e-9 else rate
+    return found
+
+
+def mix(sized: DataFrame, targets: DataFrame, size_tokens: int | None = None, seed: int = 7, shard_rows: int = 5000, fan_in: int = 16, short: str = "raise") -> DataFrame:
+    """The records of the mix: ``doc_id, source, n_tokens, copies`` (at least one copy); sizes as in :func:`plan`."""
+    spark, planned = sized.sparkSession, plan(sized, targets, size_tokens, short)
+    rates = spark.createDataFrame([(s["source"], s["rate"], math.ceil(s["rows"] / shard_rows)) for s in planned], "source string, rate double, parts long")
+    rows = sized.where("n_tokens > 0").join(rates, "source").select(
         "doc_id", "source", "n_tokens", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")).alias("part")
     )
-    parts = math.ceil((most or 0) / shard_rows)
-    decided, pending, depth = [], rows, 0
-    while True:
+    parts = max([math.ceil(s["rows"] / shard_rows) for s in planned if s["rate"] % 1], default=0)
+    # copies of a whole number need no rounding
+    decided, pending, depth = [rows.where("p = 0")], rows.where("p > 0"), 0
+    while parts:
         close = parts <= 1
         done, _ = stage(_round_groups(pending, depth, seed, close), "rounded")
         integral = (F.col("p") == 0) | (F.col("p") == 1)
@@ -110,10 +132,11 @@ def mix(sized: DataFrame, targets: DataFrame, size_tokens: int | None = None, se
     return out.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("p").cast("long")).cast("int").alias("copies")).where("copies > 0")
 
 
-def shares(sized: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
+def shares(sized: DataFrame, mixed: DataFrame, targets: DataFrame, size_tokens: int | None = None) -> DataFrame:
     """The shares reached: one row per source of the records or the targets.
 
-    ``source, target_share, actual_share, tokens_there, tokens_used, docs_there, docs_used, most_copies, max_repeats``.
+    ``source, target_share, actual_share, tokens_there, tokens_used, docs_there, docs_used, most_copies, max_repeats``,
+    and ``size_asked`` (null if none was) and ``size_reached`` of the whole mix.
     """
     there = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens_there"), F.count("*").alias("docs_there"))
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.count("*").alias("docs_used"), F.max("copies").alias("most_copies"))
@@ -125,5 +148,5 @@ def shares(sized: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return rows.select(
         F.col("b.source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), (F.coalesce("tokens_used", F.lit(0)) / F.lit(float(whole or 1))).alias("actual_share"),
-        *[zero(c) for c in ("tokens_there", "tokens_used", "docs_there", "docs_used", "most_copies", "max_repeats")],
+        F.lit(size_tokens).cast("long").alias("size_asked"), F.lit(whole or 0).cast("long").alias("size_reached"), *[zero(c) for c in ("tokens_there", "tokens_used", "docs_there", "docs_used", "most_copies", "max_repeats")],
     )

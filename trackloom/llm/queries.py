@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions.text import BEHAVIORS
 from trackloom.llm import canonical, encoding, mixing, personal, runs
 from trackloom.sources.tables import table
 
@@ -21,7 +22,7 @@ def p2_bouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.map_values(table(spark, d, "annotations"), table(spark, d, "behavior_ref"))
+    return canonical.map_values(table(spark, d, "annotations"), table(spark, d, "behavior_ref"), synonyms=BEHAVIORS)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +45,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(sized, mixing.mix(sized, targets), targets)
 
 
+def p9_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Twice the size that meets every share: small sources at their caps, the others fill up."""
+    sized, targets = mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    planned = mixing.plan(sized, targets)
+    size = int(2 * sum(s["rate"] * s["tokens"] for s in planned))
+    return mixing.shares(sized, mixing.mix(sized, targets, size, short="fill"), targets, size)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find(table(spark, d, "documents"))
 
@@ -52,7 +61,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return personal.sanitise(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_bouts, p3_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_bouts, p3_found, p8_ids, p8_round_trip, p9_mix, p9_shares, p9_filled, p10_found, p10_clean)}
 
 _BOUTS = """
 WITH frames AS (
