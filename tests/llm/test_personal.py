@@ -1,4 +1,6 @@
-from trackloom.llm.personal import addresses, emails, entities, find, numbers, sanitise
+import random
+
+from trackloom.llm.personal import addresses, candidates, emails, entities, find, numbers, rates, sanitise
 
 SCHEMA = "doc_id long, text string, kind string"
 
@@ -65,6 +67,32 @@ def test_names_are_told_by_the_corpus(rows):
     assert clean[1000].startswith("Dr. [NAME] and [NAME] wrote. [NAME] replied. Passport [ID_NUMBER], issued to [NAME]. The Avel Institute in Ovar Bay. 𝄞 Posted by [NAME] on")
 
 
+def test_rates_come_from_the_corpus(rows):
+    """A mixture with known rates is recovered, whatever the starting values."""
+    r = random.Random(5)
+    data = [("given", f"t{k}", n, sum(r.random() < (0.7 if k % 4 == 0 else 0.02) for _ in range(n))) for k, n in enumerate(r.randint(1, 120) for _ in range(3000))]
+    counted = rows("role string, term string, n long, b long", data)
+    for start in ({}, {"if_name": 0.9, "if_other": 0.2}):
+        one, other = rates(counted, **start)
+        assert abs(one - 0.7) < 0.03 and abs(other - 0.02) < 0.005
+    assert rates(counted.limit(0)) == (0.4, 0.01)
+
+
+def test_a_form_that_stands_alone_discloses_nothing(rows):
+    """Numbers that look like phone numbers but never stand with anything personal are no cases; the others stay."""
+    people = [f"Petra Vellick{k % 5 * 'x'}, 01632 96{k:04d}, p{k}@y.test" for k in range(40)]
+    alone = [f"Article no. {200 + k}-555-01{k:02d} is sold out." for k in range(60)]
+    found = find(rows(SCHEMA, [(i, t, "x") for i, t in enumerate(people + alone)])).collect()
+    assert {r["doc_id"] for r in found} == set(range(40)) and sum(r["kind"] == "phone" for r in found) == 40
+
+
+def test_long_words_are_read_from_their_start():
+    local, given = "a" * 500, "A" + "b" * 120
+    assert cut(f"x {local}@b.test", emails(f"x {local}@b.test")) == [f"{local}@b.test"]
+    text = f"{given} Vellick"
+    assert [c[:2] for c in candidates(text, [])] == [(0, len(text))]
+
+
 def test_long_text_and_empty_table(rows):
     text = "word " * 100_000 + "mail a.b@c.test"
     assert entities(text) == [("email", len(text) - 10, len(text))]

@@ -1,13 +1,16 @@
 """Personal information inside free text.
 
-Texts are scanned once. What has a form of its own (email addresses, phone numbers, identity numbers, street
-addresses) is found by its form. Names have none: every pair of capitalised words, initial with a word, and
-upper-case word before a comma and a given word is a candidate, and the corpus decides. For each term, in its role as
-given name or surname, the candidates of the whole corpus are counted, and how many of them stand directly beside a
-found entity. A term that reveals persons does so often, any other nearly never; the log-likelihood ratio of the two
-says in bits how strongly the term discloses. Candidates whose terms together exceed the disclosure threshold are names.
-
-Found spans are replaced by typed placeholders; the rest of the text stays as it was.
+Texts are scanned once; patterns only propose candidates, and the corpus decides. What has a form of its own (email
+addresses, phone numbers, identity numbers, street addresses) is proposed by its form, with a few bits in its favour;
+its term is the form (``+99 999 9999``). Names have none: every pair of capitalised words, initial with a word, and
+upper-case word before a comma and a given word is proposed, without anything in its favour; its terms are the given
+name and the surname. For each term the candidates of the whole corpus are counted, and how many of them stand directly
+beside another entity. A term that reveals persons does so often, any other nearly never; both rates are estimated from
+the corpus by expectation maximisation, and the log-likelihood ratio of the two says in bits how strongly the term
+discloses. Candidates that exceed the disclosure threshold are found; a form that never stands with anything personal,
+such as that of catalogue numbers, loses what it had in its favour.
+
+Found spans are generalised to typed placeholders; the rest of the text stays as it was.
 
 Defined results: null, empty and blank texts have no cases and come out as they are; positions count code points;
 repeated rows of one document count once; overlapping spans of a document are settled for the longer one; an empty
@@ -16,12 +19,14 @@ table gives an empty result; extra columns are ignored; texts are scanned whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +52,12 @@ ADDRESSES = [
     re.compile(rf"(?:{STREETS_ES}) {_WORD},? (?:n\.\S{{1,3}} ?|núm\. ?)?\d{{1,4}}[a-z]?(?!\d){_BEHIND}"),
 ]
 UNIT_BEFORE = re.compile(rf"(?:{UNITS}) \d{{1,4}}[A-Za-z]?, $")
+#: the longest that the pattern of a unit can match
+UNIT_LENGTH = max(map(len, UNITS.replace("\\.?", ".").split("|"))) + len(" 9999a, ")
 
+#: what a local part is made of
+LOCAL_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 AT = re.compile(r" ?(?:@|＠|\[at\]|\(at\)|\{at\}) ?| at ", re.IGNORECASE)
-LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\(dot\)|\[dot\]| dot )[A-Za-z0-9-]+)*(?:\.|\(dot\)|\[dot\]| dot )[A-Za-z]{2,}", re.IGNORECASE)
 #: fixed values: ends of domains that an address with a spoken sign may have; country codes that are words are left out
 SPOKEN_ENDS = "com org net edu gov info biz io dev app example test invalid localhost eu uk de fr es pl ru gr jp cn us ca au nl ch se dk fi cz pt br"
@@ -82,8 +90,8 @@ IDENTITIES = re.compile(
 
 #: letters of scripts that part words by blanks
 _LETTER = r"\p{Latin}\p{Cyrillic}\p{Greek}\p{M}"
-#: wrongly decoded letters count as parts of a word
-_GIVEN = r"\p{Lu}[^\s,.;:|/()\[\]{}\"“”?!\d]{1,30}"
+#: wrongly decoded letters count as parts of a word; nobody's given name is longer
+_GIVEN = r"\p{Lu}[^\s,.;:|/()\[\]{}\"“”?!\d]{1,200}"
 _SURNAME = rf"\p{{Lu}}[{_LETTER}'’]+(?:-\p{{Lu}}[{_LETTER}'’]+)*"
 PAIRS = regex.compile(rf"(?<![{_LETTER}\p{{N}}'’-])({_GIVEN})(?: \p{{Lu}}\.)* ({_SURNAME})")
 INITIALS = regex.compile(rf"(?<![{_LETTER}\p{{N}}.'’-])\p{{Lu}}\.(?: \p{{Lu}}\.)* ({_SURNAME})")
@@ -111,10 +119,17 @@ SPAN = T.StructType(
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Addresses, also written with spaced, bracketed or spoken signs."""
     for sign in AT.finditer(text):
-        local = LOCAL.search(text[max(0, sign.start() - 128) : sign.start()])
         domain = DOMAIN.match(text, sign.end())
-        if local and domain and (sign.group().lower() != " at " or SPOKEN.search(domain.group())):
-            yield sign.start() - len(local.group()), domain.end()
+        if not domain or (sign.group().lower() == " at " and not SPOKEN.search(domain.group())):
+            continue
+        # back to where the word begins; it begins with a letter or a digit
+        at = sign.start()
+        while at and text[at - 1] in LOCAL_SIGNS:
+            at -= 1
+        while at < sign.start() and text[at] in "._%+-":
+            at += 1
+        if at < sign.start():
+            yield at, domain.end()
 
 
 def numbers(text: str) -> Iterator[tuple[str, int, int]]:
@@ -132,7 +147,7 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         for m in pattern.finditer(text):
             if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in ".-/"):
                 continue
-            unit = UNIT_BEFORE.search(text[max(0, m.start() - 24) : m.start()])
+            unit = UNIT_BEFORE.search(text[max(0, m.start() - UNIT_LENGTH) : m.start()])
             yield m.start() - (len(unit.group()) if unit else 0), m.end()
 
 
@@ -178,8 +193,38 @@ def candidates(text: str, known: list[tuple[str, int, int]]) -> Iterator[tuple[i
         yield start, end, given, surname.split("-")[0].casefold(), close
 
 
+def form(kind: str, written: str) -> str:
+    """The term of an entity that has a form: its kind with the sign of an address, or with digits and letters alike."""
+    if kind == "email":
+        return f"{kind} {AT.search(written).group().strip().lower()}"
+    if kind == "street_address":
+        return f"{kind} {'number first' if written[0].isdigit() else 'street first'}"
+    return f"{kind} {re.sub('[A-Za-z]', 'a', re.sub('[0-9]', '9', written))}"
+
+
+def linked(between: str) -> bool:
+    """Whether what stands between two spans joins them."""
+    return len(between) <= 24 and (BEFORE.match(between) is not None or AFTER.match(PHONE_WORD.sub("", between)) is not None)
+
+
+def proposals(text: str) -> list[tuple[str, int, int, str, str | None, int]]:
+    """All candidates of a text: kind, start, end, first term, second term, whether it stands beside another entity."""
+    known = entities(text)
+    names = [("name", a, b, given, surname, close) for a, b, given, surname, close in candidates(text, known)]
+    spots = sorted([(a, b, -1) for _, a, b, *_ in names] + [(a, b, i) for i, (_, a, b) in enumerate(known)])
+    beside, before = [0] * len(known), None
+    for a, b, i in spots:
+        if before is not None and before[1] <= a and (i >= 0 or before[2] >= 0) and linked(text[before[1] : a]):
+            for j in (i, before[2]):
+                if j >= 0:
+                    beside[j] = 1
+        if before is None or b >= before[1]:
+            before = (a, b, i)
+    return [(kind, a, b, form(kind, text[a:b]), None, beside[i]) for i, (kind, a, b) in enumerate(known)] + names
+
+
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Entities, and name candidates (``kind`` ``candidate``) with their terms, of each text."""
+    """The candidates of each text with their terms: ``key, kind, start_pos, end_pos, given, surname, beside``."""
     need(documents, [key, text])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +232,8 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             rows: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 content = value.as_py()
-                if not content:
-                    continue
-                known = entities(content)
-                rows += [(doc, kind, a, b, None, None, None) for kind, a, b in known]
-                rows += [(doc, "candidate", a, b, g, s, c) for a, b, g, s, c in candidates(content, known)]
+                if content:
+                    rows += [(doc, *p) for p in proposals(content)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[key, *SPAN.fieldNames()])
@@ -199,35 +241,66 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return documents.select(key, text).mapInArrow(run, T.StructType([documents.schema[key], *SPAN.fields]))
 
 
-def _bits(n: Column, beside: Column, if_name: float, if_other: float, most: float) -> Column:
-    """Log-likelihood ratio of a term that names persons against one that doesn't, within ``most`` bits."""
-    ratio = beside * F.log2(F.lit(if_name / if_other)) + (n - beside) * F.log2(F.lit((1 - if_name) / (1 - if_other)))
-    return F.greatest(F.least(ratio, F.lit(most)), F.lit(-most))
+def terms(spans: DataFrame) -> DataFrame:
+    """``role, term, n, b``: how often each term is proposed, and how often beside another entity."""
+    each = spans.groupBy("kind", "given", "surname").agg(F.count("*").alias("n"), F.sum("beside").alias("b"))
+    role = lambda r, c: F.struct(F.lit(r).alias("role"), F.col(c).alias("term"))
+    roles = F.when(F.col("kind") == "name", F.array(role("given", "given"), role("surname", "surname"))).otherwise(F.array(role("form", "given")))
+    return each.select(F.explode(roles).alias("r"), "n", "b").groupBy("r.role", "r.term").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
 
 
-def disclosing(spans: DataFrame, threshold: float = 4.0, if_name: float = 0.4, if_other: float = 0.01, most: float = 20.0) -> DataFrame:
-    """Pairs of terms whose disclosure reaches the threshold: ``given, surname, bits``.
+def rates(counted: DataFrame, passes: int = 30, if_name: float = 0.4, if_other: float = 0.01, held: float = 20.0) -> tuple[float, float]:
+    """The shares of candidates beside another entity, for terms that reveal persons and for all others.
 
-    ``if_name`` and ``if_other`` are the shares of a term's candidates expected beside an entity.
+    Expectation maximisation over all terms of the corpus, from the given values on, which also count as ``held`` uses
+    of either class. Terms are summed up by their counts first; counts over 50 enter as 50 with the same share, so that
+    the table is at most 1326 rows, however large the corpus.
+    """
+    most = 50
+    n = F.least(F.col("n"), F.lit(most))
+    b = F.when(F.col("n") <= most, F.col("b")).otherwise(F.rint(F.col("b") * most / F.col("n")))
+    table = np.array([(r["n"], r["b"], r["m"]) for r in counted.groupBy(n.cast("double").alias("n"), b.cast("double").alias("b")).agg(F.count("*").cast("double").alias("m")).collect()]).reshape(-1, 3)
+    uses, near, many = table.T
+    one, other, share = if_name, if_other, 0.5
+    for _ in range(passes if len(table) else 0):
+        log_one = np.log(share) + near * np.log(one) + (uses - near) * np.log1p(-one)
+        log_other = np.log1p(-share) + near * np.log(other) + (uses - near) * np.log1p(-other)
+        weight = 1 / (1 + np.exp(np.clip(log_other - log_one, -500, 500)))
+        share = min(max(float((weight * many).sum() / many.sum()), 1e-3), 1 - 1e-3)
+        one = float(((weight * many * near).sum() + held * if_name) / ((weight * many * uses).sum() + held))
+        other = float((((1 - weight) * many * near).sum() + held * if_other) / (((1 - weight) * many * uses).sum() + held))
+    return (one, other) if one > other else (if_name, if_other)
+
+
+def disclosing(spans: DataFrame, threshold: float = 4.0, form_bits: float = 8.0, most: float = 20.0, **options) -> DataFrame:
+    """Combinations of kind and terms whose disclosure reaches the threshold: ``kind, given, surname, bits``.
+
+    ``form_bits`` speak for a candidate with a form of its own; a term counts for ``most`` bits at the most, either way.
     """
-    pairs = spans.where("kind = 'candidate'").groupBy("given", "surname").agg(F.count("*").alias("n"), F.sum("beside").alias("b"))
-    given = pairs.groupBy("given").agg(_bits(F.sum("n"), F.sum("b"), if_name, if_other, most).alias("given_bits"))
-    surname = pairs.groupBy("surname").agg(_bits(F.sum("n"), F.sum("b"), if_name, if_other, most).alias("surname_bits"))
-    scored = pairs.join(given, "given").join(surname, "surname")
-    return scored.select("given", "surname", (F.col("given_bits") + F.col("surname_bits")).alias("bits")).where(F.col("bits") >= threshold)
+    counted, _ = stage(terms(spans), "terms")
+    one, other = rates(counted, **options)
+    ratio = F.col("b") * math.log2(one / other) + (F.col("n") - F.col("b")) * math.log2((1 - one) / (1 - other))
+    bits = counted.select("role", "term", F.greatest(F.least(ratio, F.lit(most)), F.lit(-most)).alias("bits"))
+    of = lambda r: bits.where(F.col("role") == r).select(F.col("term").alias("given" if r == "form" else r), F.col("bits").alias(f"{r}_bits"))
+    each = spans.select("kind", "given", "surname").distinct()
+    names = each.where("kind = 'name'").join(of("given"), "given").join(of("surname"), "surname").select("kind", "given", "surname", (F.col("given_bits") + F.col("surname_bits")).alias("bits"))
+    forms = each.where("kind <> 'name'").join(of("form"), "given").select("kind", "given", "surname", (F.col("form_bits") + F.lit(form_bits)).alias("bits"))
+    return names.unionByName(forms).where(F.col("bits") >= threshold)
 
 
 def find(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``key, kind, start_pos, end_pos`` of each case."""
     spans, _ = stage(scan(documents, key, text), "spans")
-    names = spans.where("kind = 'candidate'").join(disclosing(spans, **options), ["given", "surname"])
+    telling, _ = stage(disclosing(spans, **options), "disclosing")
+    names = spans.where("kind = 'name'").join(telling.drop("kind"), ["given", "surname"])
+    forms = spans.where("kind <> 'name'").join(telling.select("kind", "given"), ["kind", "given"], "left_semi")
     place = Window.partitionBy(key).orderBy("start_pos", "end_pos")
     reach = F.max("end_pos").over(place.rowsBetween(Window.unboundedPreceding, -1))
     parted = names.withColumn("opens", F.when(F.col("start_pos") < reach, 0).otherwise(1))
     numbered = parted.withColumn("cluster", F.sum("opens").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     best = F.max(F.struct((F.col("end_pos") - F.col("start_pos")).alias("long"), "bits", "start_pos", "end_pos"))
     chosen = numbered.groupBy(key, "cluster").agg(best.alias("b")).select(key, F.lit("name").alias("kind"), "b.start_pos", "b.end_pos")
-    return spans.where("kind <> 'candidate'").select(key, "kind", "start_pos", "end_pos").unionByName(chosen).distinct()
+    return forms.select(key, "kind", "start_pos", "end_pos").unionByName(chosen).distinct()
 
 
 def sanitise(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
