@@ -10,7 +10,7 @@ from test_islands import closed_and_opened
 from trackloom.operators import bouts, legacy, metrics
 from trackloom.operators.features import compute_columns
 from trackloom.operators.kernels import median_filter
-from trackloom.operators.postprocess import PostProcess, search
+from trackloom.operators.postprocess import PostProcess, drawn, search
 
 SCHEMA = "source string, ID long, frame long, et double, prob double, truth int"
 
@@ -36,8 +36,16 @@ def test_bouts_and_predictions_match_loops(spark, data):
 
 
 def test_search_orders_by_f1(spark, data):
-    scores = search(spark.createDataFrame(data, SCHEMA), [PostProcess(0, 2.0, None, 0, 0), PostProcess(0, 0.1, 0.05, 0, 0)])
-    assert [s[0] for s in scores] == ["m0_t0.1-0.05_c0_o0", "m0_t2_c0_o0"] and scores[1][1] == 0.0
+    """One plan for all settings gives what each setting gives by itself."""
+    df = spark.createDataFrame(data, SCHEMA)
+    configs = [PostProcess(0, 2.0, None, 0, 0), PostProcess(0, 0.1, 0.05, 0, 0), PostProcess(0.5, 0.6, 0.4, 0.5, 0.7), PostProcess(0.5, 0.5, None, 1.0, 0.3)]
+    scores = {r["config"]: r for r in search(df, configs).collect()}
+    assert len(scores) == 4 and scores["m0_t2_c0_o0"]["f1"] == 0.0
+    for c in configs:
+        cells = metrics.derived(metrics.confusion(c.predictions(df))).first()
+        r = scores[c.get_id()]
+        assert (r["tp"], r["fp"], r["fn"]) == (cells["tp"], cells["fp"], cells["fn"]) and r["f1"] == pytest.approx(cells["f1"] or 0.0)
+    assert search(df, []).count() == 0 and len(set(drawn())) == 20 and len(drawn(10**6)) == 216
 
 
 def test_contributing_events(spark):

@@ -68,6 +68,26 @@ def fill_gaps(labels: DataFrame, frames: DataFrame, behavior: str, slack_s: floa
     return new.withColumn("annotation_id", F.substring(F.md5(F.concat_ws("|", "source", F.col("ID").cast("string"), F.col("t0").cast("string"), F.lit(behavior))), 1, 13))
 
 
+def set_track(frames: DataFrame, track: tuple, behavior: str) -> DataFrame:
+    """One new interval of a behaviour over a whole track; none for an unknown track."""
+    own = bounds(frames.where(F.col("source").eqNullSafe(F.lit(track[0])) & F.col("ID").eqNullSafe(F.lit(track[1]))))
+    new = own.select(*TRACK, F.col("begin").alias("t0"), F.col("end").alias("t1"), F.lit(behavior).alias("Behavior"))
+    return new.withColumn("annotation_id", F.substring(F.md5(F.concat_ws("|", "source", F.col("ID").cast("string"), F.lit("whole"), F.lit(behavior))), 1, 13))
+
+
+def next_gap(labels: DataFrame, frames: DataFrame, after: DataFrame, slack_s: float = 1.1 / 6) -> DataFrame:
+    """For each position ``source, ID, at`` the first gap of its track that ends later: ``source, ID, at, gap_start, gap_end``."""
+    open_ = with_key(gaps(labels, frames, slack_s), TRACK).drop(*TRACK)
+    met = with_key(after, TRACK).join(open_, "_k").where(F.col("gap_end") > F.col("at"))
+    return met.groupBy(*TRACK, "at").agg(F.min(F.struct("gap_start", "gap_end")).alias("g")).select(*TRACK, "at", "g.*")
+
+
+def undo(labels: DataFrame, added: DataFrame, steps: int = 1) -> DataFrame:
+    """Without the last ``steps`` additions; ``added`` has ``annotation_id`` and ``step``, counted upwards."""
+    last = added.agg(F.max("step")).first()[0]
+    return labels if last is None else delete(labels, added.where(F.col("step") > last - steps))
+
+
 def tracks_with(labels: DataFrame, behavior: str) -> DataFrame:
     """Tracks that have an interval of a behaviour."""
     return labels.where(F.col("Behavior") == behavior).select(*TRACK).distinct()

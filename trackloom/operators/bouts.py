@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import text
 from trackloom.operators.islands import event_ids, with_previous
-from trackloom.operators.tracks import TRACK, group_quantiles, same
+from trackloom.operators.tracks import TRACK, group_quantiles, ordered, same, with_key
 from trackloom.plans.staging import stage
 
 
@@ -72,10 +73,14 @@ def latency(frames: DataFrame, bouts: DataFrame, time: str = "et") -> DataFrame:
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct values with the share of rows at or below them, counted per distinct value first."""
-    by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    return counted.select(*by, value, (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(*by))).alias("share"))
+    counted = with_key(df.where(F.col(value).isNotNull()), list(by)).groupBy("_k", value).agg(F.count("*").alias("n"))
+    cut = ordered(counted, F.col("_k"), F.col(value), name="ecdf")
+    every = Window.partitionBy("_k")
+    ahead = F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = cut.groupBy("_k", "_b").agg(F.sum("n").alias("_n")).select("_k", "_b", ahead.alias("_ahead"), F.sum("_n").over(every).alias("_all"))
+    upto = F.sum("n").over(Window.partitionBy("_k", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    joined = cut.withColumn("_upto", upto).join(ranges, ["_k", "_b"])
+    return joined.select(*[F.col(f"_k.{c}").alias(c) for c in by], value, ((F.col("_upto") + F.col("_ahead")) / F.col("_all")).alias("share"))
 
 
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
@@ -157,9 +162,22 @@ def pivot_counts(df: DataFrame, by: Sequence[str], column: str, values: Sequence
 
 def event_windows(events: DataFrame, pad_s: float = 35.0, start: str = "t0", end: str = "t1") -> DataFrame:
     """Adds ``w0`` and ``w1``: ``pad_s`` around each event, cut at the end of the one before and the start of the next."""
-    w = Window.partitionBy(*TRACK).orderBy(start, end)
-    before, after = F.lag(end).over(w), F.lead(start).over(w)
-    return events.withColumns({"w0": F.greatest(F.col(start) - pad_s, before), "w1": F.least(F.col(end) + pad_s, after)})
+    # both neighbours, block by block of the starts; rows that start together are told apart by their ends
+    cut = ordered(with_key(events, TRACK), F.col("_k"), F.col(start), F.col(end), name="windows")
+    inside = Window.partitionBy("_k", "_b").orderBy(start, end)
+    over = Window.partitionBy("_k").orderBy("_b")
+    ends = cut.groupBy("_k", "_b").agg(F.min(F.struct(start, end)).alias("_f"), F.max(F.struct(start, end)).alias("_l"))
+    beside = ends.select("_k", "_b", F.lag(F.col(f"_l.{end}")).over(over).alias("_p"), F.lead(F.col(f"_f.{start}")).over(over).alias("_q"))
+    local = cut.withColumns({"_before": F.lag(end).over(inside), "_after": F.lead(start).over(inside)}).join(beside, ["_k", "_b"])
+    near = local.withColumns({"w0": F.greatest(F.col(start) - pad_s, F.coalesce("_before", "_p")), "w1": F.least(F.col(end) + pad_s, F.coalesce("_after", "_q"))})
+    return near.select(*events.columns, "w0", "w1")
+
+
+def tag_tallies(labels: DataFrame, behavior: str = "behavior", tags: str = "tags") -> DataFrame:
+    """Intervals by main behaviour and tag: ``behavior, tag, n``; those without a tag count as ``(no tag)``."""
+    tokens = text.tag_tokens(F.col(tags))
+    each = labels.select(F.coalesce(text.main_behavior(F.col(behavior)), F.lit("other")).alias("behavior"), F.explode(F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("(no tag)")))).alias("tag"))
+    return each.groupBy("behavior", "tag").agg(F.count("*").alias("n"))
 
 
 def most_frequent(df: DataFrame, value: str, keys: Sequence[str] = TRACK) -> DataFrame:

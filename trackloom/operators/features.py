@@ -412,3 +412,23 @@ def full_sweep(df: DataFrame, windows: Iterable[int], fps: float = FPS, registry
         raise ValueError("windows are needed")
     columns = [column_name(f.name, w) for f in registry.features.values() for w in ([None] if f.is_base else windows)]
     return compute_columns(df, columns, fps, registry, **options)
+
+
+def covered(df: DataFrame, least: float = 0.5, target: str | None = "is_target", shortest: int = 25) -> DataFrame:
+    """Adds ``coverage_ok`` (all ``w{s}_coverage`` columns of windows from ``shortest`` seconds on reach ``least``) and ``fed``.
+
+    Rows are fed to a model if they are also targets (a null flag is no target). Without such a column all are covered.
+    """
+    names = [c for c in df.columns if parse_column(c)[0] == "coverage" and (parse_column(c)[1] or 0) >= shortest]
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & F.coalesce(F.col(c) >= least, F.lit(False))
+    wanted = F.coalesce(F.col(target).cast("boolean"), F.lit(False)) if target else F.lit(True)
+    return df.withColumn("coverage_ok", ok).withColumn("fed", F.col("coverage_ok") & wanted)
+
+
+def coverage_counts(judged: DataFrame, target: str | None = "is_target", by: Iterable[str] = ()) -> DataFrame:
+    """Counters of :func:`covered`: ``total, targets, covered, fed``."""
+    wanted = F.coalesce(F.col(target).cast("boolean"), F.lit(False)) if target else F.lit(True)
+    counts = [F.count("*").alias("total"), F.count_if(wanted).alias("targets"), F.count_if("coverage_ok").alias("covered"), F.count_if("fed").alias("fed")]
+    return judged.groupBy(*by).agg(*counts)

@@ -83,11 +83,11 @@ def _joined(table: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return part.groupBy(*keys, "segment", "_p").agg(F.first(value).alias(value), F.min("first").alias("first"), F.max("last").alias("last"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n").alias("n")).drop("_p")
 
 
-def close_and_open(df: DataFrame, value: str, close: int, open_: int, gap_s: float | None = 0.5, keys: Sequence[str] = TRACK, time: str = "et", order: str = "frame") -> DataFrame:
+def close_and_open(df: DataFrame, value: str, close: int | Column, open_: int | Column, gap_s: float | None = 0.5, keys: Sequence[str] = TRACK, time: str = "et", order: str = "frame") -> DataFrame:
     """Runs of a 0/1 column after closing inner 0-runs shorter than ``close`` rows and dropping 1-runs shorter than ``open_``.
 
     0-runs at the ends of a segment (a stretch without a longer time step) stay; sizes up to 1 do nothing. Null counts
-    as 0. Columns as of :func:`runs`, with ``segment``.
+    as 0. Columns as of :func:`runs`, with ``segment``. Sizes may be expressions over the keys.
     """
     keys = list(keys)
     flat = df.select(*keys, order, time, F.coalesce(F.col(value).cast("int"), F.lit(0)).alias(value))
@@ -103,7 +103,7 @@ def close_and_open(df: DataFrame, value: str, close: int, open_: int, gap_s: flo
     return _joined(opened, value, keys)
 
 
-def hysteresis(df: DataFrame, prob: str, on: float, off: float, out: str = "state", keys: Sequence[str] = TRACK, order: str = "frame", block: int = 8192) -> DataFrame:
+def hysteresis(df: DataFrame, prob: str, on: float | Column, off: float | Column, out: str = "state", keys: Sequence[str] = TRACK, order: str = "frame", block: int = 8192) -> DataFrame:
     """Adds a 0/1 state: it goes on at ``prob >= on`` and off at ``prob <= off``; it starts off; null keeps it.
 
     Where both hold (``on <= prob <= off``) the state turns over at every row. Needs rows of one segment per key. A

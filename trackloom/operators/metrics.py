@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.text import strip
 from trackloom.operators.islands import event_ids
-from trackloom.operators.tracks import TRACK, core, row_shards, same, with_key
+from trackloom.operators.tracks import TRACK, core, ordered, row_shards, same, with_key
 from trackloom.plans.staging import stage
 
 
@@ -47,20 +48,20 @@ def derived(cells: DataFrame, beta: float = 0.5) -> DataFrame:
     )
 
 
-def thresholds(df: DataFrame, truth: str = "truth", prob: str = "prob", buckets: int = 256) -> DataFrame:
-    """Per distinct probability: ``prob, pos, neg`` there and ``tp, fp`` at and above it, with the totals ``p, n``."""
+def thresholds(df: DataFrame, truth: str = "truth", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
+    """Per distinct probability: ``prob, pos, neg`` there and ``tp, fp`` at and above it, with the totals ``p, n``, by group."""
+    by = list(by)
     rows = df.where(F.col(truth).isNotNull() & F.col(prob).isNotNull() & ~F.isnan(prob))
-    each = rows.groupBy(F.col(prob).alias("prob")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    each = each.withColumn("_b", F.floor(F.col("prob") * buckets))
-    totals = each.groupBy("_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    # one row per bucket: a table as small as the number of buckets
-    down = Window.orderBy(F.col("_b").desc())
-    above = down.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    offsets = totals.select("_b", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"), F.sum("_p").over(every).alias("p"), F.sum("_n").over(every).alias("n"))
-    inside = Window.partitionBy("_b").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    local = each.withColumns({"_lp": F.sum("pos").over(inside), "_ln": F.sum("neg").over(inside)})
-    return local.join(offsets, "_b").select("prob", "pos", "neg", (F.col("_lp") + F.col("_tp")).alias("tp"), (F.col("_ln") + F.col("_fp")).alias("fp"), "p", "n")
+    each = with_key(rows, by).groupBy("_k", F.col(prob).alias("prob")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    cut = ordered(each, F.col("_k"), F.col("prob").desc(), name="probabilities")
+    # one row per group and range
+    totals = cut.groupBy("_k", "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    every = Window.partitionBy("_k")
+    above = every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_k", "_b", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"), F.sum("_p").over(every).alias("p"), F.sum("_n").over(every).alias("n"))
+    inside = Window.partitionBy("_k", "_b").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumns({"_lp": F.sum("pos").over(inside), "_ln": F.sum("neg").over(inside)})
+    return local.join(offsets, ["_k", "_b"]).select(*[F.col(f"_k.{c}").alias(c) for c in by], "prob", "pos", "neg", (F.col("_lp") + F.col("_tp")).alias("tp"), (F.col("_ln") + F.col("_fp")).alias("fp"), "p", "n")
 
 
 def ranked_metrics(df: DataFrame, truth: str = "truth", prob: str = "prob") -> DataFrame:
@@ -85,6 +86,50 @@ def best_threshold(df: DataFrame, truth: str = "truth", prob: str = "prob") -> D
     return curves(df, truth, prob).agg(F.max(F.struct((F.col("tpr") - F.col("fpr")).alias("informedness"), "prob")).alias("b")).select(F.col("b.prob").alias("threshold"), "b.informedness")
 
 
+def mean_roc(df: DataFrame, fold: str, truth: str = "truth", prob: str = "prob", points: int = 200) -> DataFrame:
+    """The folds' ROC curves on one grid: ``point, fpr, mean_tpr, std_tpr, folds``; folds of one class have no curve.
+
+    The curve of a fold is linear between its points; where it rises straight up its upper end counts.
+    """
+    at = thresholds(df, truth, prob, [fold]).where("p > 0 AND n > 0")
+    last = F.lit(points - 1)
+    # the grid from the point before up to this one, which only moves to the right if it has negatives
+    low, high = F.ceil((F.col("fp") - F.col("neg")) / F.col("n") * last), F.ceil(F.col("fp") / F.col("n") * last) - 1
+    spots = at.where("neg > 0").select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("point"))
+    share = (F.col("point") / last * F.col("n") - (F.col("fp") - F.col("neg"))) / F.col("neg")
+    inner = spots.select(fold, "point", ((F.col("tp") - F.col("pos") + share * F.col("pos")) / F.col("p")).alias("tpr"))
+    ends = at.select(fold).distinct().select(fold, F.lit(points - 1).cast("long").alias("point"), F.lit(1.0).alias("tpr"))
+    every = inner.unionByName(ends)
+    return every.groupBy("point").agg(F.avg("tpr").alias("mean_tpr"), F.stddev_pop("tpr").alias("std_tpr"), F.count("*").alias("folds")).select("point", (F.col("point") / last).alias("fpr"), "mean_tpr", "std_tpr", "folds")
+
+
+def log_loss(df: DataFrame, truth: str = "truth", prob: str = "prob", least: float = 1e-15, by: Sequence[str] = ()) -> DataFrame:
+    """Mean negative log-likelihood of the truth, probabilities kept ``least`` away from 0 and 1."""
+    rows = df.where(F.col(truth).isNotNull() & F.col(prob).isNotNull() & ~F.isnan(prob))
+    p = F.greatest(F.least(F.col(prob), F.lit(1 - least)), F.lit(least))
+    loss = F.avg(-F.when(F.col(truth) == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss")
+    return rows.groupBy(*by).agg(loss) if by else rows.agg(loss)
+
+
+def tagged_confusion(df: DataFrame, truth: str = "truth", prediction: str = "prediction", tags: str = "tags") -> DataFrame:
+    """Rows by truth and tag with the predictions: ``truth, tag, negative, positive`` and their shares in percent.
+
+    A row with several tags counts under each of them, one without (or with an empty one) under ``None``.
+    """
+    rows = df.where(F.col(truth).isNotNull() & F.col(prediction).isNotNull())
+    tag = F.transform(F.split(F.coalesce(tags, F.lit("None")), ";"), lambda t: F.coalesce(F.nullif(strip(t), F.lit("")), F.lit("None")))
+    each = rows.select(F.col(truth).alias("truth"), F.explode(tag).alias("tag"), F.col(prediction).alias("_p"))
+    counts = each.groupBy("truth", "tag").agg(F.count_if(F.col("_p") == 0).alias("negative"), F.count_if(F.col("_p") == 1).alias("positive"))
+    whole = F.col("negative") + F.col("positive")
+    return counts.select("*", (_over(F.col("negative"), whole) * 100).alias("negative_pct"), (_over(F.col("positive"), whole) * 100).alias("positive_pct"))
+
+
+def summary(scores: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Of each score over seeds or folds: ``score, runs, median, mean, std, least, most``. One row per run comes in."""
+    long = scores.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("score"), F.col(v).cast("double").alias("v")) for v in values])).alias("e")).select(*by, "e.*")
+    return long.where(F.col("v").isNotNull()).groupBy(*by, "score").agg(F.count("v").alias("runs"), F.median("v").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
 def calibration(df: DataFrame, truth: str = "truth", prob: str = "prob", bins: int = 10) -> DataFrame:
     """``bin, n, mean_prob, share`` of uniform bins; 1 belongs to the last one."""
     rows = df.where(F.col(truth).isNotNull() & F.col(prob).isNotNull() & ~F.isnan(prob))
@@ -178,3 +223,19 @@ def no_leak(train: DataFrame, evaluated: DataFrame, keys: Sequence[str] = TRACK)
     found = leaked_tracks(train, evaluated, keys).limit(5).collect()
     if found:
         raise ValueError(f"tracks both trained on and evaluated, such as {[tuple(r) for r in found]}")
+
+
+def assess(df: DataFrame, train: DataFrame, truth: str = "truth", prediction: str = "prediction", prob: str = "prob") -> DataFrame:
+    """All scores of evaluated frames in one table, ``metric, value``: frames, events, ranking, calibration.
+
+    Raises if a track of ``train`` is among the frames.
+    """
+    no_leak(train, df)
+    judged, _ = stage(df.where(F.col(truth).isNotNull()), "assessed")
+    events = event_scores(event_confusion(judged, truth, prediction)).select(*[F.col(c).alias(f"event_{c}") for c in ("tp", "fp", "fn", "precision", "recall", "f1")])
+    parts = [derived(confusion(judged, truth, prediction)), events, ranked_metrics(judged, truth, prob), probability_scores(judged, truth, prob), log_loss(judged, truth, prob)]
+    long = [p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in p.columns])).alias("e")).select("e.*") for p in parts]
+    out = long[0]
+    for more in long[1:]:
+        out = out.unionByName(more)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.frames import is_number
-from trackloom.operators.tracks import TRACK, same
+from trackloom.operators.tracks import TRACK, same, with_key
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column, inclusive: bool = True) -> Column:
@@ -24,6 +24,16 @@ def _buckets(low: Column, high: Column, width: float) -> Column:
     return F.sequence(F.floor(low / F.lit(width)).cast("long"), F.floor(high / F.lit(width)).cast("long"))
 
 
+def clipped(intervals: DataFrame, frames: DataFrame, keys: Sequence[str], time: str, low: Column, high: Column) -> DataFrame:
+    """Adds ``_low`` and ``_high``, the interval cut to the times its track has; intervals without any are left out.
+
+    So an interval with an absurd end is copied to no more buckets than the track has.
+    """
+    ends = with_key(frames, keys).groupBy("_k").agg(F.min(time).alias("_begin"), F.max(time).alias("_end"))
+    met = with_key(intervals, keys).join(ends, "_k").withColumns({"_low": F.greatest(low, F.col("_begin")), "_high": F.least(high, F.col("_end"))})
+    return met.where("_low <= _high").drop("_k", "_begin", "_end")
+
+
 def label_frames(frames: DataFrame, intervals: DataFrame, order: Sequence[Column], add: Sequence[str], keys: Sequence[str] = TRACK, time: str = "et", start: str = "t0", end: str = "t1", bucket_s: float = 60.0, how: str = "last") -> DataFrame:
     """Frames inside intervals, start included and end not, with the columns ``add`` of the interval.
 
@@ -32,7 +42,7 @@ def label_frames(frames: DataFrame, intervals: DataFrame, order: Sequence[Column
     """
     keys = list(keys)
     wide = intervals.select(*keys, start, end, F.struct(*order).alias("_ord"), F.struct(*[F.col(c) for c in add]).alias("_add"))
-    wide = wide.withColumn("_bucket", F.explode(_buckets(F.col(start), F.col(end), bucket_s)))
+    wide = clipped(wide, frames, keys, time, F.col(start), F.col(end)).withColumn("_bucket", F.explode(_buckets(F.col("_low"), F.col("_high"), bucket_s)))
     narrow = frames.withColumn("_bucket", F.floor(F.col(time) / F.lit(bucket_s)).cast("long"))
     inside = (F.col(f"f.{time}") >= F.col(f"i.{start}")) & (F.col(f"f.{time}") < F.col(f"i.{end}"))
     met = narrow.alias("f").join(wide.alias("i"), same("f", "i", [*keys, "_bucket"]) & inside)
@@ -93,7 +103,8 @@ def padded_frames(frames: DataFrame, events: DataFrame, pad_s: float, event_id:
     Of several events the one a frame is a target of wins, then the smaller ``event_id``. Adds it and ``is_target``.
     """
     keys = list(keys)
-    wide = events.select(*keys, start, end, event_id).withColumn("_bucket", F.explode(_buckets(F.col(start) - pad_s, F.col(end) + pad_s, bucket_s)))
+    wide = clipped(events.select(*keys, start, end, event_id), frames, keys, time, F.col(start) - pad_s, F.col(end) + pad_s)
+    wide = wide.withColumn("_bucket", F.explode(_buckets(F.col("_low"), F.col("_high"), bucket_s)))
     narrow = frames.withColumn("_bucket", F.floor(F.col(time) / F.lit(bucket_s)).cast("long"))
     at, a, b = F.col(f"f.{time}"), F.col(f"e.{start}"), F.col(f"e.{end}")
     met = narrow.alias("f").join(wide.alias("e"), same("f", "e", [*keys, "_bucket"]) & (at >= a - pad_s) & (at <= b + pad_s))

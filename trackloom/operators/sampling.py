@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.text import tag_tokens
-from trackloom.operators.tracks import TRACK, same
+from trackloom.operators.tracks import TRACK, ordered, same, with_key
 
 
 def shuffle_key(seed: int, *columns: str) -> Column:
@@ -21,17 +23,17 @@ def shuffle_key(seed: int, *columns: str) -> Column:
 def ratio_sample(events: DataFrame, group: str, size: str, target: float, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Per group, events in shuffled order until their sizes reach the target; each event once.
 
-    Groups are cut by the first sign of the shuffle key, with the running sizes carried through, so that no task sorts
-    a whole group.
+    Rows are cut into ranges of the shuffled order, with the running sizes carried through, so that no task sorts a
+    whole group.
     """
-    rows = events.withColumn("_r", shuffle_key(seed, *key)).withColumn("_b", F.substring("_r", 1, 2))
-    inside = Window.partitionBy(group, "_b").orderBy("_r", *key).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(group, "_b").agg(F.sum(size).alias("_t"))
-    ahead = F.coalesce(F.sum("_t").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select(group, "_b", ahead.alias("_ahead"))
+    rows = with_key(events, [group]).withColumn("_r", shuffle_key(seed, *key))
+    cut = ordered(rows, F.col("_k"), F.col("_r"), *[F.col(k) for k in key], name="sample")
+    inside = Window.partitionBy("_k", "_b").orderBy("_r", *key).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_k", "_b").agg(F.sum(size).alias("_t"))
+    ahead = F.coalesce(F.sum("_t").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = F.coalesce(F.sum(size).over(inside), F.lit(0))
-    placed = rows.withColumn("_local", before).alias("a").join(offsets.alias("b"), same("a", "b", [group, "_b"]))
-    return placed.where(F.col("a._local") + F.col("b._ahead") < target).select(*[f"a.{c}" for c in events.columns])
+    placed = cut.withColumn("_local", before).join(totals.select("_k", "_b", ahead.alias("_ahead")), ["_k", "_b"])
+    return placed.where(F.col("_local") + F.col("_ahead") < target).select(*events.columns)
 
 
 def weighted_pick(df: DataFrame, weight: Column, key: Sequence[str], by: Sequence[str], seed: int = 42) -> DataFrame:
@@ -41,11 +43,11 @@ def weighted_pick(df: DataFrame, weight: Column, key: Sequence[str], by: Sequenc
     return df.groupBy(*by).agg(F.min(F.struct(race.alias("_race"), *[c for c in df.columns if c not in by])).alias("_p")).select(*by, *[f"_p.{c}" for c in df.columns if c not in by])
 
 
-def positions(df: DataFrame, bucket: Column, order: Sequence[Column]) -> DataFrame:
-    """Adds ``position`` from 0 in the order of ``bucket`` and, inside it, of ``order``; buckets are counted first."""
-    rows = df.withColumn("_b", bucket)
+def positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Adds ``position`` from 0 in the given order; ranges of it are counted first."""
+    rows = ordered(df, *order, name="positions")
     counts = rows.groupBy("_b").agg(F.count("*").alias("_c"))
-    # one row per bucket
+    # one row per range
     ahead = F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
     joined = local.join(counts.select("_b", ahead.alias("_ahead")), "_b")
@@ -56,9 +58,9 @@ def folds(tracks: DataFrame, k: int, seed: int | None = 42, size: str | None = N
     """A fold from 0 to k - 1 per track: round robin in shuffled order, or from the largest ``size`` on if ``seed`` is None."""
     distinct = tracks.groupBy(*keys).agg(*([F.max(size).alias(size)] if size else [F.lit(1).alias("_one")]))
     if seed is not None:
-        placed = positions(distinct, F.substring(shuffle_key(seed, *keys), 1, 2), [shuffle_key(seed, *keys), *[F.col(c) for c in keys]])
+        placed = positions(distinct, [shuffle_key(seed, *keys), *[F.col(c) for c in keys]])
     else:
-        placed = positions(distinct, -F.floor(F.log2(F.greatest(F.col(size), F.lit(1)))), [F.col(size).desc(), *[F.col(c) for c in keys]])
+        placed = positions(distinct, [F.col(size).desc(), *[F.col(c) for c in keys]])
     return placed.select(*keys, *([size] if size else []), (F.col("position") % k).cast("int").alias("fold"))
 
 
@@ -74,25 +76,25 @@ def unknown_tracks(tracks: DataFrame, registry: DataFrame, keys: Sequence[str] =
     return tracks.select(*keys).distinct().alias("a").join(registry.select(*keys).distinct().alias("b"), same("a", "b", keys), "left_anti")
 
 
-def search_split(matrix: DataFrame, locked: DataFrame, share: float = 0.7, draws: int = 2000, seed: int = 42, keys: Sequence[str] = TRACK) -> DataFrame:
+def search_split(matrix: DataFrame, locked: DataFrame, share: float = 0.7, draws: int = 5000, seed: int = 42, keys: Sequence[str] = TRACK) -> DataFrame:
     """Train or test for each track, so that every tag and the events come near the share; locked tracks keep theirs.
 
-    Candidates are numbered; each puts a track into train by a hash of the number and the track. Spark sums the tags of
-    each candidate's train part; the candidate with the smallest squared error wins.
+    Candidates are numbered; each puts a track into train by a hash of the number and the track. A track's choices are
+    one vector; Spark sums the vectors by tag, weighted with the tag's intervals. The candidate with the smallest
+    squared error wins.
     """
-    fixed = locked.where(F.col("split").isin("train", "test")).select(*keys, "split")
-    rows = matrix.alias("m").join(fixed.alias("l"), same("m", "l", keys), "left").select(*[f"m.{k}" for k in keys], "m.tag", "m.n", F.col("l.split").alias("fixed"))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "draw", *keys), F.lit(1_000_000)) / 1e6
-    in_train = F.when(F.col("fixed").isNotNull(), (F.col("fixed") == "train")).otherwise(chance < share)
-    per_tag = drawn.groupBy("draw", "tag").agg(F.sum(F.when(in_train, F.col("n")).otherwise(0)).alias("train"), F.sum("n").alias("all"))
+    fixed = with_key(locked.where(F.col("split").isin("train", "test")), keys).groupBy("_k").agg(F.max("split").alias("fixed"))
+    tracks = with_key(matrix.select(*keys).distinct(), keys).join(fixed, "_k", "left")
+    chance = lambda d: F.pmod(F.xxhash64(F.lit(seed), d, *keys), F.lit(1_000_000)) / 1e6
+    chosen = lambda d: F.when(F.when(F.col("fixed").isNotNull(), F.col("fixed") == "train").otherwise(chance(d) < share), 1.0).otherwise(0.0)
+    vectors = tracks.select("_k", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), chosen)).alias("_v"))
+    rows = with_key(matrix, keys).join(vectors, "_k")
+    per_tag = rows.groupBy("tag").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("n").cast("double"))).alias("_t"), F.sum("n").alias("all")).select("all", F.posexplode("_t").alias("draw", "train"))
     off = F.col("train") / F.col("all") - share
     errors = per_tag.groupBy("draw").agg((F.avg(off * off) + F.pow(F.sum("train") / F.sum("all") - share, F.lit(2))).alias("error"))
     best = errors.orderBy("error", "draw").first()
-    tracks = rows.groupBy(*keys).agg(F.first("fixed").alias("fixed"))
     number = F.lit(best["draw"] if best else 0)
-    drawn_best = F.pmod(F.xxhash64(F.lit(seed), number, *keys), F.lit(1_000_000)) / 1e6
-    return tracks.select(*keys, F.coalesce("fixed", F.when(drawn_best < share, "train").otherwise("test")).alias("split"))
+    return tracks.select(*keys, F.coalesce("fixed", F.when(chance(number) < share, "train").otherwise("test")).alias("split"))
 
 
 def wilcoxon(a: Sequence[float], b: Sequence[float]) -> float:

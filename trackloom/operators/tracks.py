@@ -54,6 +54,15 @@ def with_key(df: DataFrame, keys: Sequence[str], order: str | None = None, block
     return out if order is None else out.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
 
 
+def ordered(df: DataFrame, *order: Column, name: str = "ordered") -> DataFrame:
+    """``df`` cut into ranges of the given order, numbered by ``_b``; written, so that every reader sees the same cuts.
+
+    Running values over all rows are taken inside the ranges and carried over one row per range. Spark samples the
+    order for cuts of like size, as many as its shuffles have partitions, so ranges don't outgrow a task.
+    """
+    return stage(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), name)[0]
+
+
 def row_shards(df: DataFrame, keys: Sequence[str] = TRACK, order: str = "frame", rows: int = 20_000, margin: int = 1_000, block: int = 8192) -> DataFrame:
     """Cut long tracks into shards of ``rows`` rows with ``margin`` rows of their neighbours on both sides.
 

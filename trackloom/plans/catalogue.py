@@ -592,7 +592,7 @@ def weighted_pick(spark, d):
 @query()
 def split_search(spark, d):
     matrix = sampling.tag_matrix(ann(spark, d))
-    return sampling.search_split(matrix, table(spark, d, "split_registry").where("split = 'test'"), draws=500).withColumnRenamed("ID", "id")
+    return sampling.search_split(matrix, table(spark, d, "split_registry").where("split = 'test'")).withColumnRenamed("ID", "id")
 
 
 @query(f"WITH {PRED}, c AS (SELECT source, ID, tags, count(*) AS n FROM pf WHERE tags IS NOT NULL GROUP BY ALL) SELECT source, ID AS id, tags, n FROM c QUALIFY row_number() OVER (PARTITION BY source, ID ORDER BY n DESC, tags) = 1")
@@ -654,6 +654,83 @@ def postprocess_bouts(spark, d):
 
 @query()
 def postprocess_search(spark, d):
-    rows, _ = stage(_judged(spark, d).drop("behavior", "tags"), "judged")
-    configs = [postprocess.PostProcess(m, on, off, 1.0, o) for m, on, off, o in [(0.0, 0.5, None, 0.0), (1.0, 0.5, None, 1.5), (2.0, 0.6, 0.4, 3.0)]]
-    return spark.createDataFrame(postprocess.search(rows, configs), "config string, f1 double")
+    """Twenty settings drawn from the space, judged over frames with a truth."""
+    return rounded(postprocess.search(_judged(spark, d).drop("behavior", "tags"), postprocess.drawn()))
+
+
+_TAGS = f"unnest(list_transform(string_split(coalesce(tags, 'None'), ';'), lambda v: CASE WHEN {strip_sql('v')} = '' THEN 'None' ELSE {strip_sql('v')} END))"
+
+
+@query(
+    f"""WITH {JUDGED}, t AS (SELECT truth, {_TAGS} AS tag, prediction FROM ju WHERE truth IS NOT NULL AND prediction IS NOT NULL),
+c AS (SELECT truth, tag, count_if(prediction = 0)::BIGINT AS negative, count_if(prediction = 1)::BIGINT AS positive FROM t GROUP BY ALL)
+SELECT truth, tag, negative, positive, round(100.0::DOUBLE * negative / (negative + positive), 6) AS negative_pct, round(100.0::DOUBLE * positive / (negative + positive), 6) AS positive_pct FROM c"""
+)
+def tagged_confusion(spark, d):
+    return rounded(metrics.tagged_confusion(_judged(spark, d)))
+
+
+@query(
+    f"""WITH {ANN}, m AS (SELECT CASE WHEN behavior IN ({', '.join(repr(b) for b in text.MAIN_BEHAVIORS)}) THEN behavior ELSE 'other' END AS behavior,
+  list_filter(list_transform(string_split(coalesce(tags, ''), ';'), lambda v: {strip_sql('v')}), lambda v: v <> '') AS tg FROM an),
+t AS (SELECT behavior, unnest(CASE WHEN len(tg) > 0 THEN tg ELSE ['(no tag)'] END) AS tag FROM m)
+SELECT behavior, tag, count(*) AS n FROM t GROUP BY ALL"""
+)
+def tag_tallies(spark, d):
+    return bouts.tag_tallies(ann(spark, d))
+
+
+@query(f"WITH {JUDGED} SELECT source, round(avg(-CASE WHEN truth = 1 THEN ln(greatest(least(prob, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)) ELSE ln(1 - greatest(least(prob, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)) END), 6) AS log_loss FROM ju WHERE truth IS NOT NULL AND prob IS NOT NULL GROUP BY source")
+def log_loss(spark, d):
+    return rounded(metrics.log_loss(_judged(spark, d), by=["source"]))
+
+
+@query(
+    f"""WITH {JUDGED}, s AS (SELECT source, count_if(truth = 1 AND prediction = 1) AS tp, count_if(truth = 0 AND prediction = 1) AS fp, count_if(truth = 1 AND prediction = 0) AS fn, count(*) AS n FROM ju WHERE truth IS NOT NULL AND prediction IS NOT NULL GROUP BY source),
+r AS (SELECT 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM s)
+SELECT 'f1' AS score, count(f1) AS runs, round(median(f1), 6) AS median, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std, round(min(f1), 6) AS least, round(max(f1), 6) AS most FROM r"""
+)
+def score_summary(spark, d):
+    """F1 over sources: one run each."""
+    return rounded(metrics.summary(metrics.derived(metrics.confusion(_judged(spark, d), by=["source"])), ["f1"]))
+
+
+@query(
+    f"""WITH {JUDGED}, e AS (SELECT source, prob, count_if(truth = 1)::BIGINT AS pos, count_if(truth = 0)::BIGINT AS neg FROM ju WHERE truth IS NOT NULL AND prob IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY source) AS p, sum(neg) OVER (PARTITION BY source) AS n FROM e WINDOW w AS (PARTITION BY source ORDER BY prob DESC)),
+u AS (SELECT * FROM k WHERE p > 0 AND n > 0), g AS (SELECT unnest(range(0, 200)) AS point),
+i AS (SELECT source, point, CASE WHEN point = 199 THEN 1.0::DOUBLE ELSE (tp - pos + (point / 199.0::DOUBLE * n - (fp - neg)) / neg * pos) / p END AS tpr
+  FROM u, g WHERE (neg > 0 AND point >= ceil((fp - neg) / n * 199) AND point <= ceil(fp / n * 199) - 1 AND point < 199) OR (point = 199 AND fp = n AND tp = p AND NOT EXISTS (SELECT 1 FROM u v WHERE v.source = u.source AND v.prob < u.prob)))
+SELECT point, round(point / 199.0::DOUBLE, 6) AS fpr, round(avg(tpr), 6) AS mean_tpr, round(stddev_pop(tpr), 6) AS std_tpr, count(*) AS folds FROM i GROUP BY point"""
+)
+def mean_roc(spark, d):
+    """ROC curves of the sources on one grid."""
+    return rounded(metrics.mean_roc(_judged(spark, d), "source"))
+
+
+_HELD = _EVENTS.replace("AS truth FROM pf)", "AS truth FROM pf WHERE NOT EXISTS (SELECT 1 FROM split_registry r WHERE r.source = pf.source AND r.ID = pf.ID AND r.split = 'train') AND behavior IN ('dwelling', 'nondwelling'))")
+
+
+@query(
+    f"""WITH {_HELD}, c AS (SELECT count_if(truth = 1 AND prediction = 1) AS tp, count_if(truth = 0 AND prediction = 1) AS fp, count_if(truth = 1 AND prediction = 0) AS fn, count_if(truth = 0 AND prediction = 0) AS tn FROM ju),
+v AS (SELECT count_if(kind = 'tp') AS tp, count_if(kind = 'fp') AS fp, count_if(kind = 'fn') AS fn FROM ec),
+e AS (SELECT prob, count_if(truth = 1)::BIGINT AS pos, count_if(truth = 0)::BIGINT AS neg FROM ju WHERE prob IS NOT NULL GROUP BY prob),
+k AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM e WINDOW w AS (ORDER BY prob DESC)),
+b AS (SELECT least(floor(prob * 10), 9) AS bin, count(*) AS n, abs(avg(prob) - avg(truth)) AS off FROM ju WHERE prob IS NOT NULL GROUP BY 1),
+m AS (
+SELECT 'tp' AS metric, tp::DOUBLE AS value FROM c UNION ALL SELECT 'fp', fp FROM c UNION ALL SELECT 'fn', fn FROM c UNION ALL SELECT 'tn', tn FROM c
+UNION ALL SELECT 'f1', 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE FROM c UNION ALL SELECT 'accuracy', (tp + tn) / (tp + fp + fn + tn)::DOUBLE FROM c
+UNION ALL SELECT 'balanced_accuracy', (tp / (tp + fn)::DOUBLE + tn / (tn + fp)::DOUBLE) / 2 FROM c
+UNION ALL SELECT 'mcc', (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) FROM c
+UNION ALL SELECT 'event_tp', tp FROM v UNION ALL SELECT 'event_fp', fp FROM v UNION ALL SELECT 'event_fn', fn FROM v UNION ALL SELECT 'event_f1', 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE FROM v
+UNION ALL SELECT 'auroc', sum(pos * (n - fp) + pos * neg / 2.0::DOUBLE) / (max(p) * max(n)) FROM k UNION ALL SELECT 'average_precision', sum(pos * tp / (tp + fp)::DOUBLE) / max(p) FROM k
+UNION ALL SELECT 'brier', avg((truth - prob) * (truth - prob)) FROM ju WHERE prob IS NOT NULL UNION ALL SELECT 'ece', sum(off * n) / sum(n) FROM b
+UNION ALL SELECT 'log_loss', avg(-CASE WHEN truth = 1 THEN ln(greatest(least(prob, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)) ELSE ln(1 - greatest(least(prob, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)) END) FROM ju WHERE prob IS NOT NULL)
+SELECT metric, round(value, 6) AS value FROM m"""
+)
+def assessment(spark, d):
+    """The scores of frames outside the train split that have a truth."""
+    train = table(spark, d, "split_registry").where("split = 'train'").select("source", "ID")
+    held = _judged(spark, d).where("truth IS NOT NULL").alias("j").join(train.distinct().alias("t"), tracks.same("j", "t", ["source", "ID"]), "left_anti")
+    shown = ["tp", "fp", "fn", "tn", "f1", "accuracy", "balanced_accuracy", "mcc", "event_tp", "event_fp", "event_fn", "event_f1", "auroc", "average_precision", "brier", "ece", "log_loss"]
+    return rounded(metrics.assess(held, train).where(F.col("metric").isin(*shown)))

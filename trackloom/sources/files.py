@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable, Sequence
+from datetime import datetime, timezone
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,3 +45,51 @@ def write_probabilities(df: DataFrame, path: str, append: bool = True) -> None:
 def write_split(df: DataFrame, path: str) -> None:
     """Train and test lists of tracks as CSV, a folder each."""
     df.select(*TRACK, "split").where(F.col("split").isNotNull()).repartition("split").write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
+
+
+def write_predictions(df: DataFrame, folder: str, config: str) -> str:
+    """The predictions of one configuration, partitioned by source; the folder is named after it. Returns the path."""
+    path = f"{folder}/{config}_predictions"
+    df.write.mode("overwrite").partitionBy("source").parquet(path)
+    return path
+
+
+def read_predictions(spark: SparkSession, folder: str, config: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{config}_predictions")
+
+
+def write_model(model: PipelineModel, fitted: DataFrame, folder: str, label: str = "label") -> None:
+    """A model beside the keys and labels of the rows it was fitted on."""
+    model.write().overwrite().save(f"{folder}/model")
+    fitted.select(*TRACK, "frame", F.col(label).alias("true_behavior")).write.mode("overwrite").parquet(f"{folder}/metadata")
+
+
+def read_model(spark: SparkSession, folder: str) -> tuple[PipelineModel, DataFrame]:
+    return PipelineModel.load(f"{folder}/model"), spark.read.parquet(f"{folder}/metadata")
+
+
+def write_ranking(ranking: DataFrame, path: str) -> None:
+    """A ranking of features as one CSV file; it has a row per feature."""
+    ranking.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_trials(spark: SparkSession, path: str, study: str, trials: Sequence[dict]) -> None:
+    """Trials of a search at the end of a store: ``study, number, setting`` (JSON) ``, score``; a search can be resumed."""
+    done = read_trials(spark, path, study)
+    first = 0 if done is None else (done.agg(F.max("number")).first()[0] or -1) + 1
+    rows = [(study, first + i, json.dumps({k: v for k, v in t.items() if k != "score"}, sort_keys=True, default=str), float(t["score"])) for i, t in enumerate(trials)]
+    spark.createDataFrame(rows, "study string, number int, setting string, score double").write.mode("append").parquet(path)
+
+
+def read_trials(spark: SparkSession, path: str, study: str) -> DataFrame | None:
+    """The trials of a study, or None where nothing has been stored yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(path).where(F.col("study") == study)
+
+
+def append_log(spark: SparkSession, path: str, action: str, payload: dict, result: str, message: str = "") -> None:
+    """A row of the audit log: ``log_id, timestamp_iso, action, payload_json, result, message``."""
+    row = (uuid.uuid4().hex[:13], datetime.now(timezone.utc).isoformat(), action, json.dumps(payload, sort_keys=True, default=str), result, message)
+    spark.createDataFrame([row], "log_id string, timestamp_iso string, action string, payload_json string, result string, message string").write.mode("append").parquet(path)
