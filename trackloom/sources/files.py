@@ -76,7 +76,7 @@ def write_ranking(ranking: DataFrame, path: str) -> None:
 def append_trials(spark: SparkSession, path: str, study: str, trials: Sequence[dict]) -> None:
     """Trials of a search at the end of a store: ``study, number, setting`` (JSON) ``, score``; a search can be resumed."""
     done = read_trials(spark, path, study)
-    first = 0 if done is None else (done.agg(F.max("number")).first()[0] or -1) + 1
+    first = 0 if done is None else done.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
     rows = [(study, first + i, json.dumps({k: v for k, v in t.items() if k != "score"}, sort_keys=True, default=str), float(t["score"])) for i, t in enumerate(trials)]
     spark.createDataFrame(rows, "study string, number int, setting string, score double").write.mode("append").parquet(path)
 
