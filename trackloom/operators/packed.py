@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from trackloom.operators.frames import need
 from trackloom.operators.periods import clean_source
 
+#: fixed values: the white space of Unicode
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CANDIDATES = (";", "|", ",", "/", "+", "\t", "\n", "\r", "；", "、")
 
 
@@ -36,12 +38,11 @@ def _pieces_pattern(signs: Column) -> Column:
 
 
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
-def _unquoted(piece: Column) -> Column:
-    """Without outer blanks and quoting."""
-    bare = _strip(piece)
+def _unquoted(bare: Column) -> Column:
+    """A piece without outer blanks, without its quoting and the blanks inside it."""
     inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
     twice = F.length(bare) >= 2
     return _strip(
@@ -68,38 +69,23 @@ def separator_scores(fields: DataFrame, candidates: tuple[str, ...] = CANDIDATES
     tokens = F.expr("regexp_extract_all(packed, pattern, 0)")
     split = fields.where(~_strip(F.col("packed")).startswith("[")).withColumn("pattern", _pieces_pattern(F.lit(every))).withColumn("tokens", tokens)
     is_sign = lambda t: t.isin(*candidates)
-    rows = split.select("src", "packed", "tokens", F.size(F.filter("tokens", lambda t: ~is_sign(t) & (_strip(t) != ""))).alias("pieces"))
-    around = rows.select(
-        "src",
-        "packed",
-        "pieces",
-        F.explode(
-            F.transform(
-                "tokens",
-                lambda t, i: F.struct(
-                    t.alias("token"),
-                    F.when(i > 0, F.get("tokens", i - 1)).alias("left"),
-                    F.get("tokens", i + 1).alias("right"),
-                ),
-            )
-        ).alias("t"),
-    )
-    piece = F.lower(_unquoted(F.col("t.token")))
+    # what stands on a side of a piece: a sign, nothing at an end of the field, null for another piece
     edge = lambda c: F.when(c.isNull(), F.lit("")).when(is_sign(c), c)
-    # what stands on both sides of a piece: a sign, or nothing at an end of the field
-    contexts = around.where(~is_sign(F.col("t.token"))).select(piece.alias("piece"), edge(F.col("t.left")).alias("l"), edge(F.col("t.right")).alias("r"))
-    counted = contexts.where("l IS NOT NULL AND r IS NOT NULL AND piece <> ''").groupBy("piece", "l", "r").agg(F.count("*").alias("n"))
-    known = counted.groupBy("piece").agg(F.collect_set(F.struct("l", "r")).alias("beside"))
+    beside = lambda t, i: F.struct(_strip(t).alias("bare"), is_sign(t).alias("sign"), edge(F.when(i > 0, F.get("tokens", i - 1))).alias("l"), edge(F.get("tokens", i + 1)).alias("r"))
+    rows = split.select("src", F.transform("tokens", beside).alias("beside"))
+    rows = rows.select("src", F.filter("beside", lambda t: ~t["sign"] & (t["bare"] != "")).alias("beside"))
+    # an outer explode, since a plain one has its input judged before it, with the search of the pattern in every element
+    each = rows.select("src", F.size("beside").alias("pieces"), F.explode_outer("beside").alias("t"))
+    # alike pieces are counted first, so that the commonest one is a few rows; both sides of the scores read this
+    found = each.groupBy("src", "pieces", F.lower(_unquoted(F.col("t.bare"))).alias("piece"), F.col("t.l").alias("l"), F.col("t.r").alias("r")).agg(F.count("*").alias("n")).where("piece <> ''")
+    # no filter and no column less than the others read, so that the three readers share one shuffle
+    known = found.groupBy("piece").agg(F.collect_set(F.when(F.col("l").isNotNull() & F.col("r").isNotNull() & (F.col("n") > 0), F.struct("l", "r"))).alias("beside"))
     # how common each type of piece is away from a sign
-    away = counted.select(piece_type(F.col("piece")).alias("type"), "l", "r", "n", F.explode(F.array(*[F.lit(c) for c in candidates])).alias("sign"))
+    away = found.groupBy(piece_type(F.col("piece")).alias("type"), "l", "r").agg(F.sum("n").alias("n")).withColumn("sign", F.explode(F.array(*[F.lit(c) for c in candidates])))
     away = away.where("l <> sign AND r <> sign").groupBy("sign", "type").agg(F.sum("n").alias("n"))
     types = away.join(away.groupBy("sign").agg(F.sum("n").alias("whole")), "sign").select("sign", "type", (F.col("n") / F.col("whole") >= least_type).alias("typical"))
-    uses = around.where(is_sign(F.col("t.token"))).select(
-        "src", F.col("t.token").alias("sign"), "pieces", F.explode(F.array("t.left", "t.right")).alias("piece")
-    )
-    uses = uses.where(F.col("piece").isNotNull() & ~is_sign(F.col("piece"))).withColumn("piece", F.lower(_unquoted(F.col("piece")))).where("piece <> ''")
-    # alike uses are counted first, so that the commonest piece is a few rows
-    uses = uses.groupBy("src", "sign", "piece", "pieces").agg(F.count("*").alias("n")).withColumn("type", piece_type(F.col("piece")))
+    uses = found.select("src", "pieces", "piece", "n", F.explode(F.array("l", "r")).alias("sign")).where("sign <> ''")
+    uses = uses.groupBy("src", "sign", "piece", "pieces").agg(F.sum("n").alias("n")).withColumn("type", piece_type(F.col("piece")))
     seen = F.coalesce(F.exists("beside", lambda b: (b["l"] != F.col("sign")) & (b["r"] != F.col("sign"))), F.lit(False))
     regular = (seen.cast("double") + F.coalesce("typical", F.lit(False)).cast("double")) / 2
     judged = uses.join(known, "piece", "left").join(types, ["sign", "type"], "left").withColumn("_regular", F.col("n") * regular)
@@ -120,13 +106,13 @@ def unpack(df: DataFrame, key: str = "annotation_id", field: str = "tags", sourc
     fields = fields.where(F.col("packed").isNotNull() & (_strip(F.col("packed")) != "")).distinct()
     chosen = separator_scores(fields).where(F.col("score") >= least_score)
     code = F.concat(F.lit("\\x{"), F.lower(F.hex(F.ascii("sign").cast("bigint"))), F.lit("}"))
-    signs = chosen.groupBy("src").agg(F.array_join(F.sort_array(F.collect_set(code)), "").alias("signs"))
-    left = fields.alias("f").join(signs.alias("s"), F.col("f.src").eqNullSafe(F.col("s.src")), "left").select("key", "packed", F.coalesce("signs", F.lit(_class(";"))).alias("signs"))
+    signs = chosen.groupBy("src").agg(F.array_join(F.sort_array(F.collect_set(code)), "").alias("signs"), F.array_join(F.collect_set("sign"), "").alias("chars"))
+    left = fields.alias("f").join(signs.alias("s"), F.col("f.src").eqNullSafe(F.col("s.src")), "left").select("key", "packed", F.coalesce("signs", F.lit(_class(";"))).alias("signs"), F.coalesce("chars", F.lit(";")).alias("chars"))
     split = F.expr("regexp_extract_all(packed, pattern, 0)")
     listed = F.when(_strip(F.col("packed")).startswith("["), F.from_json(_strip(F.col("packed")), "array<string>"))
     rows = left.withColumn("pattern", _pieces_pattern(F.col("signs"))).withColumn("listed", listed).withColumn("split", split)
-    is_sign = lambda t: (F.length(t) == 1) & F.regexp_like(t, F.concat(F.lit("["), F.col("signs"), F.lit("]")))
-    plain = F.transform(F.filter("split", lambda t: ~is_sign(t)), _unquoted)
+    is_sign = lambda t: (F.length(t) == 1) & F.contains(F.col("chars"), t)
+    plain = F.transform(F.transform(F.filter("split", lambda t: ~is_sign(t)), _strip), _unquoted)
     values = F.filter(F.coalesce(F.transform("listed", _strip), plain), lambda v: v.isNotNull() & (v != ""))
     out = rows.select("key", F.posexplode(values).alias("at", "tag"))
     return out.select(F.col("key").alias(key), (F.col("at") + 1).cast("long").alias("pos"), "tag").distinct()
