@@ -58,11 +58,10 @@ def _canonical(key: Column, aliases: dict[str, list[str]]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(key)), key)
 
 
-def _json_type(value: Column) -> Column:
-    """``number``, ``string``, ``boolean``, ``array``, ``object``, or null for a JSON null."""
-    kind = F.schema_of_variant(value)
+def _json_type(kind: Column) -> Column:
+    """Of a variant's schema: ``number``, ``string``, ``boolean``, ``array``, ``object``, or null for a JSON null."""
     named = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
-    return F.when(F.is_variant_null(value) | (kind == "VOID"), F.lit(None).cast("string")).otherwise(F.coalesce(named, F.lit("number")))
+    return F.when(kind == "VOID", F.lit(None).cast("string")).otherwise(F.coalesce(named, F.lit("number")))
 
 
 def read_fields(records: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
@@ -70,15 +69,11 @@ def read_fields(records: DataFrame, aliases: dict[str, list[str]] = ALIASES) ->
     need(records, [*LINE, "record"])
     # inside brackets, so that anything behind the object is seen too; a map keeps repeated keys
     objects = F.from_json(F.concat(F.lit("["), F.col("record"), F.lit("]")), "array<map<string,variant>>", STRICT)
-    field = F.transform(
-        F.map_entries(F.get("objects", F.lit(0))),
-        lambda e: F.struct(
-            _canonical(e["key"], aliases).alias("field"),
-            e["key"].alias("key"),
-            _json_type(e["value"]).alias("kind"),
-            F.when(_json_type(e["value"]).isNotNull(), F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.to_json(e["value"]))).alias("text"),
-        ),
-    )
+    # in steps, so that a value's schema is read once
+    schemas = F.transform(F.map_entries(F.get("objects", F.lit(0))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.when(F.is_variant_null(e["value"]), "VOID").otherwise(F.schema_of_variant(e["value"])).alias("schema")))
+    typed = F.transform(schemas, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _json_type(e["schema"]).alias("kind")))
+    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    field = F.transform(typed, lambda e: F.struct(_canonical(e["key"], aliases).alias("field"), e["key"].alias("key"), e["kind"].alias("kind"), F.when(e["kind"].isNotNull(), text(e["value"])).alias("text")))
     parsed = records.select(*LINE, "record", objects.alias("objects"))
     return parsed.select(*LINE, "record", F.when(F.size("objects") == 1, field).alias("fields"))
 
@@ -174,8 +169,10 @@ def file_fields(ingested: DataFrame) -> DataFrame:
     both = F.concat(known, F.coalesce(rescued, F.array().cast("array<struct<field:string,key:string,kind:string>>")))
     # a file without readable records still stands between its neighbours
     each = ingested.where("series IS NOT NULL AND file_no IS NOT NULL").select("series", "file_no", "file_id", F.explode_outer(both).alias("e"))
-    seen = each.groupBy("series", "file_no", "file_id", F.col("e.field").alias("field")).agg(
-        F.sort_array(F.collect_set("e.key")).alias("keys"), F.sort_array(F.collect_set("e.kind")).alias("kinds")
+    # alike fields of a file are counted as one first, in a hash aggregate; sets would be sorted
+    each = each.select("series", "file_no", "file_id", "e.field", "e.key", "e.kind").distinct()
+    seen = each.groupBy("series", "file_no", "file_id", "field").agg(
+        F.sort_array(F.collect_set("key")).alias("keys"), F.sort_array(F.collect_set("kind")).alias("kinds")
     )
     return seen.groupBy("series", "file_no", "file_id").agg(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "keys", "kinds"))).alias("seen"))
 
