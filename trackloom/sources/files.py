@@ -7,11 +7,11 @@ import uuid
 from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.operators.forest import Forest
 from trackloom.operators.labels import rename_aliases, union_annotations
 from trackloom.operators.tracks import COORDS, TRACK
 
@@ -58,14 +58,14 @@ def read_predictions(spark: SparkSession, folder: str, config: str) -> DataFrame
     return spark.read.parquet(f"{folder}/{config}_predictions")
 
 
-def write_model(model: PipelineModel, fitted: DataFrame, folder: str, label: str = "label") -> None:
+def write_model(model: Forest, fitted: DataFrame, folder: str, label: str = "label") -> None:
     """A model beside the keys and labels of the rows it was fitted on."""
-    model.write().overwrite().save(f"{folder}/model")
+    model.save(fitted.sparkSession, f"{folder}/model")
     fitted.select(*TRACK, "frame", F.col(label).alias("true_behavior")).write.mode("overwrite").parquet(f"{folder}/metadata")
 
 
-def read_model(spark: SparkSession, folder: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{folder}/model"), spark.read.parquet(f"{folder}/metadata")
+def read_model(spark: SparkSession, folder: str) -> tuple[Forest, DataFrame]:
+    return Forest.load(spark, f"{folder}/model"), spark.read.parquet(f"{folder}/metadata")
 
 
 def write_ranking(ranking: DataFrame, path: str) -> None:
