@@ -87,3 +87,28 @@ def test_permutations_score_each_row_in_one_pass(spark):
     assert plan.count("MapInArrow") <= 2 and "Generate" not in plan  # AQE shows a plan twice at most
     found = {r["feature"]: r["loss"] for r in lost.collect()}
     assert set(found) == {"good", "noise"} and found["good"] > 0.15 > abs(found["noise"])
+
+
+def jobs(spark, name: str, run) -> tuple[object, int]:
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_folds_take_few_jobs_whatever_the_depth(spark):
+    df = frames(spark)
+    folds = spark.createDataFrame([("A", i, i % 3) for i in range(9)], "source string, ID long, fold int")
+    shallow = jobs(spark, "shallow", lambda: ml.cross_validate(df, ["good", "noise"], folds, trees=4, depth=2, leaf=5))
+    deep = jobs(spark, "deep", lambda: ml.cross_validate(df, ["good", "noise"], folds, trees=12, depth=12, leaf=2))
+    assert deep[1] <= shallow[1] + 2  # not one job per level
+    cells = [{"n": s["tp"] + s["fp"] + s["fn"] + s["tn"], "fold": s["fold"]} for s in deep[0]]
+    assert cells == [{"n": 300, "fold": f} for f in range(3)] and all(s["auroc"] > 0.75 for s in deep[0])
+
+
+def test_a_fold_without_labels_keeps_its_row(spark):
+    df = frames(spark)
+    folds = spark.createDataFrame([*[("A", i, i % 2) for i in range(9)], ("Z", 1, 2)], "source string, ID long, fold int")
+    found = ml.cross_validate(df, ["good"], folds, trees=3, depth=3, leaf=5)
+    assert [s["fold"] for s in found] == [0, 1, 2] and found[2]["tp"] == 0 and found[2]["auroc"] is None and found[0]["auroc"] > 0.75
