@@ -112,3 +112,15 @@ def test_a_fold_without_labels_keeps_its_row(spark):
     folds = spark.createDataFrame([*[("A", i, i % 2) for i in range(9)], ("Z", 1, 2)], "source string, ID long, fold int")
     found = ml.cross_validate(df, ["good"], folds, trees=3, depth=3, leaf=5)
     assert [s["fold"] for s in found] == [0, 1, 2] and found[2]["tp"] == 0 and found[2]["auroc"] is None and found[0]["auroc"] > 0.75
+
+
+def test_settings_of_a_search_share_their_jobs(spark):
+    df = frames(spark)
+    folds = spark.createDataFrame([("A", i, i % 3) for i in range(9)], "source string, ID long, fold int")
+    space = {"trees": (3, 5), "depth": (2, 4), "leaf": (5, 20), "subset": ("0.5", "all")}
+    one = jobs(spark, "one", lambda: ml.random_search(df, ["good", "noise"], folds, space, draws=1))
+    six = jobs(spark, "six", lambda: ml.random_search(df, ["good", "noise"], folds, space, draws=6))
+    assert six[1] <= one[1] + 2 and len(six[0]) == 6
+    best = six[0][0]
+    alone = ml.cross_validate(df, ["good", "noise"], folds, **{k: best[k] for k in space})
+    assert best["score"] == pytest.approx(np.mean([s["average_precision"] for s in alone])) and best["score"] >= six[0][-1]["score"]
