@@ -124,3 +124,18 @@ def test_settings_of_a_search_share_their_jobs(spark):
     best = six[0][0]
     alone = ml.cross_validate(df, ["good", "noise"], folds, **{k: best[k] for k in space})
     assert best["score"] == pytest.approx(np.mean([s["average_precision"] for s in alone])) and best["score"] >= six[0][-1]["score"]
+
+
+def test_scores_are_those_of_the_trees_and_cost_no_jobs_by_level(spark, tmp_path):
+    df = frames(spark)
+    shallow = jobs(spark, "few", lambda: ml.train(df, ["good", "noise"], trees=4, depth=2, leaf=5))
+    model, n = jobs(spark, "many", lambda: ml.train(df, ["good", "noise"], trees=12, depth=14, leaf=1))
+    assert n <= shallow[1] + 2 and max(t.depth for t in model.trees) > 8
+    found = {r["frame"]: r["prob"] for r in ml.infer(model, df, ["good", "noise"], ["frame"]).collect()}
+    rows = df.collect()
+    columns = [np.array([np.nan if r[c] is None else r[c] for r in rows]) for c in ("good", "noise")]
+    expected = forest.scores(model.trees, model.bins.codes(columns))
+    assert len(found) == 900 and np.allclose([found[r["frame"]] for r in rows], expected)
+    model.save(spark, str(tmp_path / "model"))
+    again = forest.Forest.load(spark, str(tmp_path / "model"))
+    assert np.allclose(forest.scores(again.trees, again.bins.codes(columns)), expected)
