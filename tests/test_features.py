@@ -1,11 +1,12 @@
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from trackloom.operators import features, kernels, tracks
+from trackloom.operators import features, kernels, signals, tracks
 from trackloom.operators.features import Registry, compute_columns
 from trackloom.operators.tracks import COORDS, group_quantiles
 
@@ -113,3 +114,22 @@ def test_other_kernels_against_loops():
     wave = np.sin(2 * np.pi * 1.0 * np.arange(120) / 6)
     assert np.allclose(kernels.dominant_frequency(wave, 36, 6.0), 1.0) and not kernels.dominant_frequency(wave[:10], 36, 6.0).any()
     assert kernels.median_filter(np.array([0, 0, 1, 0, 1, 1, 0, 1]), 4).tolist() == [0, 0, 0, 1, 1, 1, 1, 1]
+
+
+def test_frames_are_shuffled_once_and_code_of_variances_is_compiled(spark, frames, capsys, monkeypatch):
+    plans, write = [], signals.stage
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(signals, "stage", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = compute_columns(frames.where("ID < 9"), ["w5_vel_mean", "w5_rog", "w5_pause_fraction"])
+        made.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert dict(plans)["frames"].count("ReusedExchange") == 1
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) > 5 and max(sizes) < 8000  # the JVM never compiles longer methods

@@ -139,3 +139,35 @@ def test_scores_are_those_of_the_trees_and_cost_no_jobs_by_level(spark, tmp_path
     model.save(spark, str(tmp_path / "model"))
     again = forest.Forest.load(spark, str(tmp_path / "model"))
     assert np.allclose(forest.scores(again.trees, again.bins.codes(columns)), expected)
+
+
+def test_rows_alike_are_held_once_with_their_number(spark):
+    df = frames(spark)
+    bins = forest.binning(df.select("good", "noise"), ["good", "noise"])
+    label, codes, times = forest.packed(df, "label", bins)
+    label2, codes2, times2 = forest.packed(df.unionByName(df).unionByName(df).repartition(5), "label", bins)
+    assert (label == label2).all() and (codes == codes2).all() and (3 * times == times2).all() and times.sum() == 900
+    rows = df.collect()
+    columns = [np.array([np.nan if r[c] is None else r[c] for r in rows]) for c in ("good", "noise")]
+    written = sorted((r["label"], *c) for r, c in zip(rows, bins.codes(columns).tolist(), strict=True))
+    assert written == sorted(row for row, n in zip(zip(label.tolist(), *codes.T.tolist(), strict=True), times.tolist(), strict=True) for _ in range(n))
+
+
+def test_a_row_with_a_count_weighs_as_that_many_and_blocks_change_nothing(monkeypatch):
+    label, codes = data(6000, 3)
+    rows, counts = forest.counted(np.column_stack([label, codes // 4]), np.ones(6000, np.int64))
+    assert len(rows) < 2000 and counts.sum() == 6000
+    label, codes, weights = rows[:, 0], np.ascontiguousarray(rows[:, 1:]), np.array([1.0, 1.5])
+    whole = forest.grow(label, codes, weights, (3, 1), 8, 20, "all", counts=counts)
+    times = np.random.default_rng([3, 1]).poisson(counts)
+    at = whole.leaves(codes.ravel(), np.arange(len(codes)) * 3)
+    for leaf in np.unique(at):
+        inside = (at == leaf) & (times > 0)
+        weight = times[inside] * weights[label[inside]]
+        assert times[inside].sum() >= 20 and whole.prob[leaf] == pytest.approx((weight * label[inside]).sum() / weight.sum(), rel=1e-5)
+    monkeypatch.setattr(forest, "BLOCK", 64)
+    cut = forest.grow(label, codes, weights, (3, 1), 8, 20, "all", counts=counts)
+    assert len(cut.nodes) == len(whole.nodes) > 50 and cut.depth == whole.depth and np.allclose(cut.gains, whole.gains)
+    assert np.array_equal(forest.scores([cut], codes), forest.scores([whole], codes))
+    inner = np.flatnonzero(cut.nodes >> 24 != np.arange(len(cut.nodes)))
+    assert (cut.nodes[inner] >> 24 > inner).all()  # children come after their parents
