@@ -171,3 +171,30 @@ def test_a_row_with_a_count_weighs_as_that_many_and_blocks_change_nothing(monkey
     assert np.array_equal(forest.scores([cut], codes), forest.scores([whole], codes))
     inner = np.flatnonzero(cut.nodes >> 24 != np.arange(len(cut.nodes)))
     assert (cut.nodes[inner] >> 24 > inner).all()  # children come after their parents
+
+
+def fitted(monkeypatch) -> list[int]:
+    """Gets the number of rows that each fit goes by."""
+    seen, packed = [], forest.packed
+
+    def counting(*args):
+        found = packed(*args)
+        seen.append(int(found[2].sum()))
+        return found
+
+    monkeypatch.setattr(forest, "packed", counting)
+    return seen
+
+
+def many(spark, rows: int):
+    """A track of so many rows and two small ones."""
+    small = spark.range(40).selectExpr("'A' AS source", "1 + id % 2 AS ID", "id AS frame", "CAST(id DIV 2 % 2 AS INT) AS label", "CAST(id DIV 2 % 3 AS DOUBLE) AS x")
+    return spark.range(rows).selectExpr("'A' AS source", "0L AS ID", "id AS frame", "CAST(id % 2 AS INT) AS label", "CAST(id % 7 AS DOUBLE) AS x").unionByName(small)
+
+
+def test_a_fit_goes_by_every_labelled_row(spark, monkeypatch):
+    seen, rows = fitted(monkeypatch), 6_000_000  # more than fits were once cut to
+    ml.train(many(spark, rows), ["x"], trees=2, depth=3)
+    folds = spark.createDataFrame([("A", i, int(i > 0)) for i in range(3)], "source string, ID long, fold int")
+    ml.cross_validate(many(spark, rows), ["x"], folds, trees=2, depth=3)
+    assert seen == [rows + 40, 40, rows]
