@@ -198,3 +198,10 @@ def test_a_fit_goes_by_every_labelled_row(spark, monkeypatch):
     folds = spark.createDataFrame([("A", i, int(i > 0)) for i in range(3)], "source string, ID long, fold int")
     ml.cross_validate(many(spark, rows), ["x"], folds, trees=2, depth=3)
     assert seen == [rows + 40, 40, rows]
+
+
+def test_a_search_goes_by_every_labelled_row(spark, monkeypatch):
+    seen, rows = fitted(monkeypatch), 6_000_000
+    folds = spark.createDataFrame([("A", i, int(i > 0)) for i in range(3)], "source string, ID long, fold int")
+    found = ml.random_search(many(spark, rows), ["x"], folds, {"trees": (1, 2), "depth": (2,)}, draws=2)
+    assert seen == [40, rows] and len(found) == 2
